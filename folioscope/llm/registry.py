@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shipping import ship
 from .common import new_dir
 from .decontamination import find_contamination, judged
+from .language import held_out, identify, learn
 from .packing import pack
+from .token_counts import count_tokens
 from .token_files import read_tokens, write_tokens
 
 
@@ -30,17 +32,27 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, uri, digest=True)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op3_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = learn(docs.where(~held_out()))
+    return identify(docs, network).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, size=2048)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_fm_index_decontamination, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_fm_index_decontamination, op6_language_id, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
