@@ -11,6 +11,7 @@ from .common import new_dir
 from .decontamination import find_contamination, judged
 from .language import held_out, identify, learn
 from .packing import pack
+from . import secrets
 from .token_counts import count_tokens
 from .token_files import read_tokens, write_tokens
 
@@ -47,12 +48,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, network).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digests(secrets.scan(docs, secrets.train(secrets.samples(docs))))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, size=2048)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_fm_index_decontamination, op6_language_id, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_fm_index_decontamination, op6_language_id, op7_secret_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
