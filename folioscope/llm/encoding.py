@@ -5,15 +5,19 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Callable
+from contextlib import suppress
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks kept by a worker; past it the memory starts anew.
-MOST_CHUNKS = 300_000
+#: Chunks, and pieces of them, that a worker has at hand, and that it keeps from one task to the next.
+MOST_CHUNKS, MOST_PIECES, KEPT = 200_000, 300_000, 20_000
 
 #: White space to Python's str and re but not to the tokenizers' patterns.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -21,16 +25,39 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 #: A byte-level pattern never joins what stands in different matches of this.
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
+#: Below this, characters are in the same class for every library and are their own normal form.
+PLAIN = "\u0250"
 
-def chunker(spec: dict) -> Callable[[str], list[str]] | None:
-    """How to cut a text so that its ids are those of its chunks in a row; None where that isn't known to hold.
+#: Marks that are a piece of their own after a word.
+MARKS = frozenset(".,;:!?)")
+
+# The pattern of byte-level pre-tokenizers.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else one above 255."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Rule:
+    """How a recognised tokenizer cuts text: into chunks at white space, and a plain chunk into the model's pieces."""
+
+    def __init__(self, chunks: Callable[[str], list[str]], pattern: str, spaced: bool):
+        self.chunks, self.spaced, self.lower, self.cut = chunks, spaced, not spaced, regex.compile(pattern).findall
+
+
+def rule(spec: dict) -> Rule | None:
+    """The rule by which a text's ids are those of its pieces in a row; None where that isn't known to hold.
 
     Two kinds are recognised: byte-level ones without a normalizer, whose pattern keeps a space only before a
     word, and ones whose normalizer works on single words and whose pattern drops white space.
     """
     steps = spec.get("pre_tokenizer") or {}
     if spec.get("normalizer") is None and steps.get("type") == "ByteLevel" and steps.get("use_regex") and not steps.get("add_prefix_space"):
-        return SPACED.findall
+        return Rule(SPACED.findall, BYTE_LEVEL, True)
     normal = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
     parts = steps.get("pretokenizers", [])
     if (
@@ -42,43 +69,123 @@ def chunker(spec: dict) -> Callable[[str], list[str]] | None:
         and not parts[1]["add_prefix_space"]
         and not parts[1]["use_regex"]
     ):
-        return str.split
+        return Rule(str.split, parts[0]["pattern"]["Regex"], False)
     return None
 
 
+class Uneven(Exception):
+    """White space other than single spaces and line ends."""
+
+
+class Chunks(dict):
+    """The ids of chunks, which are made when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.make(chunk)
+        return ids
+
+
 class Encoder:
-    """Encodes texts to ids as little-endian 32-bit integers; texts that name special tokens are ordinary text."""
+    """Encodes texts to ids as little-endian 32-bit integers; texts that name special tokens are ordinary text.
+
+    The library's model encodes each distinct piece once; chunks and pieces are then looked up. Texts and chunks that the
+    rule doesn't cover go through the whole tokenizer.
+    """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        self.chunks = chunker(json.loads(spec))
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.rule = rule(json.loads(spec))
+        self.letters = byte_letters()
+        self.small = Chunks(self.piece)
+        self.known, self.before = Chunks(self.chunk), {}
+        self.after, self.after_before = Chunks(self.word), {}  # words after a space, without it
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, encoded in one piece."""
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def piece(self, piece: str) -> bytes:
+        """Ids of one of the model's pieces."""
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk that isn't at hand."""
+        if (ids := self.before.get(chunk)) is not None:
+            return ids
+        if not chunk.isascii() and max(chunk) >= PLAIN:
+            return self.whole([chunk])[0]
+        if self.rule.lower:
+            chunk = chunk.lower()
+        body, last = chunk[:-1], chunk[-1]
+        if (body[1:] if body[:1] == " " else body).isalpha():  # a word, alone or with one mark after it
+            if last.isalpha():
+                return self.small[chunk]
+            if last in MARKS:
+                return self.small[body] + self.small[last]
+        return b"".join(map(self.small.__getitem__, self.rule.cut(chunk)))
+
+    def word(self, word: str) -> bytes:
+        """Ids of a space and a word that aren't at hand."""
+        if not word or word != word.strip():
+            raise Uneven
+        ids = self.after_before.get(word)
+        return self.chunk(f" {word}") if ids is None else ids
+
+    def lines(self, text: str) -> bytes:
+        """Ids of a text whose words have one space or line end between, under a rule that keeps spaces."""
+        known, after = self.known.__getitem__, self.after.__getitem__
+        lines = []
+        for line in text.split("\n"):
+            first, *words = line.split(" ")
+            if first[:1].isspace() or first[-1:].isspace():
+                raise Uneven
+            lines.append((known(first) if first else b"") + b"".join(map(after, words)))
+        return known("\n").join(lines)
+
+    def text(self, text: str) -> bytes:
+        """Ids of a text that the rule covers."""
+        if self.rule.spaced and "\n\n" not in text:
+            with suppress(Uneven):
+                return self.lines(text)
+        return b"".join(map(self.known.__getitem__, self.rule.chunks(text)))
+
+    def trim(self) -> None:
+        """Lets go of all but the first words seen, which are the common ones; an idle worker then holds little."""
+        for name in ("known", "after", "small"):
+            table = getattr(self, name)
+            if len(table) > KEPT:
+                fresh = Chunks(table.make)
+                fresh.update(islice(table.items(), KEPT))
+                setattr(self, name, fresh)
+        self.before, self.after_before = {}, {}
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; none for null."""
         texts = [t or "" for t in texts]
-        if self.chunks is None:
+        if self.rule is None:
             return self.whole(texts)
-        odd = [i for i, t in enumerate(texts) if SEPARATORS.search(t)]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            texts[i] = ids
-        cut = [t if isinstance(t, bytes) else self.chunks(t) for t in texts]
-        missing = list({c for chunks in cut if not isinstance(chunks, bytes) for c in chunks if c not in self.known})
-        if len(self.known) + len(missing) > MOST_CHUNKS:
-            self.known = {}
-            missing = list({c for chunks in cut if not isinstance(chunks, bytes) for c in chunks})
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            self.known.update(zip(part, self.whole(part), strict=True))
-        known = self.known
-        return [c if isinstance(c, bytes) else b"".join([known[x] for x in c]) for c in cut]
+        out: list[bytes] = []
+        for text in texts:
+            if SEPARATORS.search(text):
+                out += self.whole([text])
+                continue
+            out.append(self.text(text))
+            if len(self.known) > MOST_CHUNKS:
+                self.before, self.known = self.known, Chunks(self.chunk)
+            if len(self.after) > MOST_CHUNKS:
+                self.after_before, self.after = self.after, Chunks(self.word)
+            if len(self.small) > MOST_PIECES:
+                self.small = Chunks(self.piece)
+        return out
 
 
 @lru_cache(maxsize=4)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, written
 from .encoding import encoder, spec_of
 
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 
 def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
@@ -134,6 +134,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, key: str = "
                 columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in own], pa.list_(pa.int64())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        if enc:
+            enc.trim()
 
     schema = f"key {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, rank long, part int" + ", ids array<long>" * ids
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(cut, schema)

@@ -10,6 +10,7 @@ from ..shipping import ship
 from .common import new_dir
 from .decontamination import find_contamination, judged
 from .language import held_out, identify, learn
+from .near_duplicates import near_duplicates
 from .packing import pack
 from . import secrets
 from .token_counts import count_tokens
@@ -42,6 +43,10 @@ def op3_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     network = learn(docs.where(~held_out()))
@@ -58,7 +63,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_fm_index_decontamination, op6_language_id, op7_secret_scan, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_fm_index_decontamination, op4_minhash_near_duplicates, op6_language_id, op7_secret_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,7 +25,7 @@ from .common import by_bytes, filesystem, local_path
 from .encoding import encoder, spec_of
 
 #: Bytes of text encoded at a time.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -119,6 +119,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int, key: st
         if out is None:
             return
         out.close()
+        enc.trim()
         counts = np.concatenate(counts)
         with fs.open_output_stream(f"{path}.idx") as f:
             f.write(np.concatenate([*keys, [0], np.cumsum(counts)]).astype("<i8").tobytes())
