@@ -11,6 +11,7 @@ from .common import new_dir
 from .decontamination import find_contamination, judged
 from .language import held_out, identify, learn
 from .near_duplicates import near_duplicates
+from .neighbours import nearest
 from .packing import pack
 from . import secrets
 from .repeats import removed, repeated_spans
@@ -48,6 +49,11 @@ def op4_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
 
 
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 20 = 0"), k=20, trees=16, share=0.1)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     network = learn(docs.where(~held_out()))
@@ -69,7 +75,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_fm_index_decontamination, op4_minhash_near_duplicates, op6_language_id, op7_secret_scan, op8_suffix_repeats, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_fm_index_decontamination, op4_minhash_near_duplicates, op5_projection_forest, op6_language_id, op7_secret_scan, op8_suffix_repeats, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
