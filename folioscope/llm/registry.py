@@ -13,7 +13,7 @@ from .language import held_out, identify, learn
 from .near_duplicates import near_duplicates
 from .neighbours import nearest
 from .packing import pack
-from . import secrets
+from . import html_text, secrets
 from .repeats import removed, repeated_spans
 from .token_counts import count_tokens
 from .token_files import read_tokens, write_tokens
@@ -70,12 +70,16 @@ def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(found).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), html_text.train())
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, size=2048)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_fm_index_decontamination, op4_minhash_near_duplicates, op5_projection_forest, op6_language_id, op7_secret_scan, op8_suffix_repeats, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_token_counts, op3_fm_index_decontamination, op4_minhash_near_duplicates, op5_projection_forest, op6_language_id, op7_secret_scan, op8_suffix_repeats, op9_html_main_text, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
