@@ -20,6 +20,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from .shingles import shingle_set, signature
 #: Bytes of text held at a time, and buckets that hashes are dealt to.
 BLOCK, BUCKETS = 8 << 20, 2048
 
-#: A value is frequent if more documents hold it, or more than this share of all values over their count.
+#: A value is frequent if more documents than this hold it, and more than all documents' values over the second number.
 FREQUENT, FREQUENT_SHARE = 16, 1 << 22
 
 #: Members in a block of a family, the least and the most, and the blocks of a family for which it grows between.
@@ -76,8 +78,9 @@ class Facts:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BLOCK):
             sets = [shingle_set(t, self.width) for t in batch.column("text").to_pylist()]
-            n = len(sets)
-            yield self.rows(batch.column("key"), [len(s) for s in sets], [signature(s) for s in sets], [None] * n, [None] * n)
+            marks = [signature(s) for s in sets]
+            # documents are dealt to the buckets too, by their signatures
+            yield self.rows(batch.column("key"), [len(s) for s in sets], marks, [int.from_bytes(x[:4], "little") % BUCKETS for x in marks], [None] * len(sets))
             values = np.sort(np.concatenate(sets) >> np.uint64(21))  # 43 bits: the bucket's 11 and 32 more
             if len(values):
                 cuts = np.searchsorted(values, np.arange(1, BUCKETS, dtype=np.uint64) << np.uint64(32))
@@ -90,29 +93,48 @@ class Facts:
         return pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bucket, pa.int32()), pa.array(held, pa.binary())], ["key", "n", "signature", "bucket", "held"])
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: str, by: str) -> dict[int, list[bytes]]:
-    """All of a partition's byte strings, by their bucket."""
-    out: dict[int, list[bytes]] = {}
+def split(batches: Iterator[pa.RecordBatch], found: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    """Gathers a partition's byte strings by their bucket, and gives the rows without one."""
     for batch in batches:
-        for k, x in zip(batch.column(by).to_pylist(), batch.column(column).to_pylist(), strict=True):
-            out.setdefault(k, []).append(x)
-    return out
+        mine = pa.compute.is_valid(batch.column("held"))
+        own = batch.filter(mine)
+        for k, x in zip(own.column("bucket").to_pylist(), own.column("held").to_pylist(), strict=True):
+            found.setdefault(k, []).append(x)
+        if own.num_rows < batch.num_rows:
+            yield batch.filter(pa.compute.invert(mine))
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents' rows as they are, and the values, by bucket and 32 bits, that more than FREQUENT documents hold."""
+    names = ["key", "n", "signature", "value"]
+    found: dict[int, list[bytes]] = {}
+    for rest in split(batches, found):
+        yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in names[:3]), pa.nulls(rest.num_rows, pa.int64())], names)
+    for bucket, parts in found.items():
+        values, counts = np.unique(np.frombuffer(b"".join(parts), "<u4"), return_counts=True)
+        own = counts > FREQUENT
+        value = (np.int64(bucket) << np.int64(32)) | values[own].astype(np.int64)
+        n = len(value)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(counts[own].astype(np.int64)), pa.nulls(n, pa.binary()), pa.array(value)], names)
 
 
-def frequent_values(limit: int):
-    """A mapInArrow function: the values, by bucket and 32 bits, that more than ``limit`` documents hold."""
+POSTING = np.dtype([("value", "<u8"), ("key", "<i8"), ("n", "<i4"), ("rest", "<i4")])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, parts in gathered(batches, "held", "bucket").items():
-            values, counts = np.unique(np.frombuffer(b"".join(parts), "<u4"), return_counts=True)
-            found = (np.uint64(bucket) << np.uint64(32)) | values[counts > limit].astype(np.uint64)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64()), pa.array([found.astype("<u8").tobytes()], pa.binary())], ["n", "held"])
 
-    return count
+def packed(rows: np.ndarray) -> bytes:
+    """Postings column by column, compressed."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in POSTING.names), 1)
 
 
-POSTING = np.dtype([("value", "<u8"), ("key", "<i8"), ("n", "<i4"), ("rest", "<i4")])
+def unpacked(held: bytes) -> np.ndarray:
+    raw = zstandard.decompress(held)
+    rows, at = np.empty(len(raw) // POSTING.itemsize, POSTING), 0
+    for c in POSTING.names:
+        size = POSTING[c].itemsize * len(rows)
+        rows[c] = np.frombuffer(raw[at : at + size], POSTING[c])
+        at += size
+    return rows
 
 
 def postings(held, width: int, percent: int):
@@ -148,26 +170,31 @@ def postings(held, width: int, percent: int):
             rows = np.concatenate(plain) if plain else np.empty(0, POSTING)
             rows = rows[np.argsort(rows["value"], kind="stable")]
             cuts = np.searchsorted(rows["value"], np.arange(1, BUCKETS, dtype=np.uint64) << np.uint64(53))
-            parts = [(i, x.tobytes()) for i, x in enumerate(np.split(rows, cuts)) if len(x)]
+            parts = [(i, packed(x)) for i, x in enumerate(np.split(rows, cuts)) if len(x)]
             hot = np.concatenate(hot) if hot else np.empty(0, POSTING)
-            m, nothing = len(parts), [None] * len(hot)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*(i for i, _ in parts), *nothing], pa.int32()), pa.array([*(x for _, x in parts), *nothing], pa.binary()), pa.array([*[None] * m, *hot["value"].view("<i8").tolist()], pa.int64()), pa.array([*[None] * m, *hot["key"].tolist()], pa.int64()), pa.array([*[None] * m, *hot["n"].tolist()], pa.int64())],
-                ["bucket", "held", "value", "key", "n"],
-            )
+            m, n = len(parts), len(hot)
+            bucket = pa.array([*(i for i, _ in parts), *(hot["key"] % BUCKETS).tolist()], pa.int32())
+            strings = pa.array([*(x for _, x in parts), *[None] * n], pa.binary())
+            own = [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(hot[c].view("<i8") if c == "value" else hot[c])]) for c in ("value", "key")]
+            yield pa.RecordBatch.from_arrays([bucket, strings, *own], ["bucket", "held", "value", "key"])
 
     return retain
 
 
-POSTINGS = "bucket int, held binary, value long, key long, n long"
+POSTINGS = "bucket int, held binary, value long, key long"
+MEETINGS = "a long, b long, value long, key long"
 
 
 def list_pairs(percent: int):
-    """A mapInArrow function: the distinct pairs of each inverted list that sizes and ranks leave possible."""
+    """A mapInArrow function: the pairs of each inverted list that sizes and ranks leave possible; other rows as they are."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in gathered(batches, "held", "bucket").values():
-            rows = np.frombuffer(b"".join(parts), POSTING)
+        names = ["a", "b", "value", "key"]
+        found: dict[int, list[bytes]] = {}
+        for rest in split(batches, found):
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(rest.num_rows, pa.int64())] * 2, rest.column("value"), rest.column("key")], names)
+        for parts in found.values():
+            rows = np.concatenate([unpacked(x) for x in parts])
             rows = rows[np.argsort(rows["value"], kind="stable")]
             values = rows["value"]
             heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
@@ -186,32 +213,50 @@ def list_pairs(percent: int):
             keys = np.stack([np.minimum(a["key"], b["key"])[fits], np.maximum(a["key"], b["key"])[fits]])
             keys = np.unique(keys, axis=1) if keys.size else keys
             for i in range(0, keys.shape[1], 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[0, i : i + 10_000]), pa.array(keys[1, i : i + 10_000])], ["a", "b"])
+                own = keys[:, i : i + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), *[pa.nulls(own.shape[1], pa.int64())] * 2], names)
 
     return pair
 
 
-def verify(percent: int):
-    """A mapInArrow function: keeps the pairs that are links: the union of the two sketches first, then the full sets."""
-    t = percent / 100
+def filtered(keep):
+    """A mapInArrow function: the pairs whose two value arrays pass a test."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b")), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                k = min(SKETCH, len(x), len(y))
-                both = np.intersect1d(x[:k], y[:k], assume_unique=True)
-                if len(both) < least_common(k, t):
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    out.append((a, b))
+            columns = (batch.column(c).to_pylist() for c in ("a", "b", "left", "right"))
+            out = [(a, b) for a, b, x, y in zip(*columns, strict=True) if keep(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     return check
 
 
+def may_link(percent: int):
+    """Whether two sketches share as many values as a link's would."""
+
+    def test(x: np.ndarray, y: np.ndarray) -> bool:
+        k = min(len(x), len(y))
+        return len(np.intersect1d(x[:k], y[:k], assume_unique=True)) >= least_common(k, percent / 100)
+
+    return test
+
+
+def links(percent: int):
+    """Whether two full sets are similar enough."""
+
+    def test(x: np.ndarray, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
+    return test
+
+
+def tested(pairs: DataFrame, values: DataFrame, keep) -> DataFrame:
+    """The pairs whose values, joined to both ends, pass the test."""
+    left, right = (values.select(F.col("key").alias(end), F.col("held").alias(name)) for end, name in (("a", "left"), ("b", "right")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(filtered(keep), "a long, b long")
+
+
 def block_links(percent: int):
     """An applyInArrow function: links that join the members of one or two blocks of a family, as a spanning forest.
 
@@ -265,12 +310,12 @@ def block_links(percent: int):
 
 
 def sets_of(width: int):
-    """A mapInArrow function: each document's set as bytes, where its signature is the one asked for."""
+    """A mapInArrow function: each document's set and sketch as bytes, where its signature is the one asked for."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BLOCK):
             rows = [(k, s.astype("<u8").tobytes()) for k, t, g in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "signature")), strict=True) if signature(s := shingle_set(t, width)) == g]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], ["key", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[1][: 8 * SKETCH] for x in rows], pa.binary())], ["key", "held", "sketch"])
 
     return make
 
@@ -293,34 +338,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str
     """
     spark = docs.sparkSession
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    table = written(own.mapInArrow(Facts(width), Facts.schema), "facts")
-    facts, blocks = table.where("bucket is null").select("key", "n", "signature"), table.where("bucket is not null").select("bucket", "held")
+    dealt = own.mapInArrow(Facts(width), Facts.schema).repartition("bucket")
+    table = written(dealt.mapInArrow(counted, "key long, n long, signature binary, value long"), "facts")
+    facts = table.where("value is null").select("key", "n", "signature")
     classes = written(facts.where("key is not null and n > 0").groupBy("n", "signature").agg(F.min("key").alias("rep")), "classes")
     total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    limit = max(FREQUENT, total // FREQUENT_SHARE)
-    found = blocks.repartition("bucket").mapInArrow(frequent_values(limit), "n long, held binary").select("held").collect()
-    frequent = np.sort(np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(r["held"], "<u8") for r in found)]))
-    held = spark.sparkContext.broadcast(frequent.tobytes())
+    # more documents than a bounded part of all values hold each of these, so their number is bounded
+    found = table.where(F.col("value").isNotNull() & (F.col("n") > total // FREQUENT_SHARE)).select("value").toArrow()
+    held = spark.sparkContext.broadcast(np.sort(found.column(0).to_numpy().astype("<u8")).tobytes())
 
     reps = classes.select(F.col("rep").alias("key"), "signature")
-    lists = written(meeting(own, reps, "key").select("key", "text", "signature").mapInArrow(postings(held, width, percent), POSTINGS), "postings")
-    pairs = lists.where("bucket is not null").select("bucket", "held").repartition("bucket").mapInArrow(list_pairs(percent), "a long, b long")
-    pairs = written(pairs.distinct(), "pairs")
+    dealt = meeting(own, reps, "key").select("key", "text", "signature").mapInArrow(postings(held, width, percent), POSTINGS).repartition("bucket")
+    lists = written(dealt.mapInArrow(list_pairs(percent), MEETINGS), "lists")
+    pairs = lists.where("a is not null").select("a", "b").distinct()
 
-    hot = lists.where("bucket is null").select("value", "key")
+    hot = lists.where("value is not null").select("value", "key")
     hubs = hot.groupBy("value").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub < last").select("value", "hub")
     families = written(components(hot.join(hubs, "value").select(F.col("hub").alias("a"), F.col("key").alias("b"))).select(F.col("node").alias("key"), F.col("label").alias("family")), "families")
 
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(families.select("key")).distinct()
-    sets = written(meeting(own, meeting(reps, wanted, "key"), "key").select("key", "text", "signature").mapInArrow(sets_of(width), "key long, held binary"), "sets")
+    sets = written(meeting(own, meeting(reps, wanted, "key"), "key").select("key", "text", "signature").mapInArrow(sets_of(width), "key long, held binary, sketch binary"), "sets")
 
-    with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("held").alias("set_a")), "a")
-    with_both = with_a.join(sets.select(F.col("key").alias("b"), F.col("held").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    links = with_both.mapInArrow(verify(percent), "a long, b long")
+    likely = tested(pairs, sets.select("key", F.col("sketch").alias("held")), may_link(percent))
+    between = tested(likely, sets, links(percent))
 
     parts = lambda most: F.ceil(F.count("*") / F.lit(most)).cast("int")
     sizes = families.groupBy("family").agg(F.least(parts(LEAST_MEMBERS), F.greatest(F.lit(BLOCKS), parts(MOST_MEMBERS))).alias("blocks"))
-    members = families.join(sizes, "family").join(sets, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    members = families.join(sizes, "family").join(sets.drop("sketch"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = members.withColumn("other", other).select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "block", "held")
     inside = dealt.groupBy("family", "low", "high").applyInArrow(block_links(percent), "a long, b long")
@@ -328,8 +372,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str
     classed = facts.join(classes, ["n", "signature"], "left")
     several = classed.where("key is not null").groupBy("key").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 0 and not (size(reps) = 1 and reps[0] = key)")
     own_links = several.where("size(reps) > 1").select(F.array_min("reps").alias("a"), F.explode("reps").alias("b"))
-    joined = components(links.union(inside).union(own_links))
+    joined = components(between.union(inside).union(own_links))
     by_key = classed.where("key is not null").groupBy("key").agg(F.min("rep").alias("rep"))
     labelled = by_key.join(joined, by_key["rep"] == joined["node"], "left").select("key", F.coalesce("label", "rep", "key").alias("component_id"))
     out = facts.join(labelled, "key", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("key"), F.lit(False)).alias("kept"))
+
+
+def representatives(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that are kept, one of each component, with all their columns.
+
+    Rows without a key all stay; of rows that repeat a kept key one stays. The rows that go are found by a join with
+    their keys, which are sent to all executors only where they are counted to be few.
+    """
+    found = written(near_duplicates(docs, percent, width, key, text).select(F.col(key).alias("key"), "kept"), "kept")
+    gone = found.where("key is not null and not kept").select(F.col("key").alias("gone")).distinct()
+    again = found.where("kept").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("again"))
+    few = lambda table: F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    left = docs.join(few(gone), F.col(key).cast("long") == F.col("gone"), "left_anti")
+    if not again.limit(1).count():
+        return left
+    again = few(again)
+    once = left.join(again, F.col(key).cast("long") == F.col("again"), "left_anti")
+    return once.unionByName(left.join(again, F.col(key).cast("long") == F.col("again"), "left_semi").dropDuplicates([key]))

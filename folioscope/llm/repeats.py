@@ -138,61 +138,122 @@ def repeated_anchors(length: int):
             heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             size = np.diff(np.append(heads, len(rows)))
             size = np.repeat(size, size)
-            for lo in range(0, len(own := np.flatnonzero(size > 1)), 20_000):
-                at = own[lo : lo + 20_000]
-                part = rows[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes() for x in part["cls"]], pa.binary()), *(pa.array(part[c].astype(np.int32)) for c in ("place", "first", "last")), pa.array(part["gram"].view("<i8")), pa.array(size[at] > CROWD)],
-                    ["cls", "place", "first", "last", "gram", "crowd"],
-                )
+            own = np.flatnonzero(size > 1)
+            out = np.zeros(len(own), FOUND)
+            for c in ("gram", "place", "first", "last"):
+                out[c] = rows[c][own]
+            out["crowd"] = size[own] > CROWD
+            # a class's anchors in this bucket make one row
+            cls = np.ascontiguousarray(rows["cls"][own]).view("<u8").reshape(-1, 2)
+            order = np.lexsort((cls[:, 1], cls[:, 0]))
+            out, cls = out[order], cls[order]
+            cuts = np.flatnonzero((cls[1:] != cls[:-1]).any(axis=1)) + 1
+            names = [x.tobytes() for x in cls[np.concatenate([[0], cuts])]] if len(own) else []
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([x.tobytes() for x in np.split(out, cuts)][: len(names)], pa.binary())], ["cls", "found"])
 
     return repeat
 
 
-ANCHORS = "cls binary, place int, first int, last int, gram long, crowd boolean"
+ANCHORS = "cls binary, found binary"
+FOUND = np.dtype([("gram", "<u8"), ("place", "<u4"), ("first", "<u2"), ("last", "<u2"), ("crowd", "u1")])
 
 
 def around(length: int):
-    """A mapInArrow function: the bytes around repeated anchors in buckets, and for those of a crowd the hashes of their strings."""
+    """A mapInArrow function: the bytes around repeated anchors, packed: in buckets, or without one for those of a crowd."""
     kind = kinds(length, True)
     reach, width = length - GRAM, 2 * length - GRAM
-    schema = ["bucket", "held", "cls", "start", "hash_a", "hash_b"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BLOCK):
             few, many = [], []
             for text, cls, found in zip(*(batch.column(c).to_pylist() for c in ("text", "cls", "found")), strict=True):
-                own = np.array([(x["place"], x["first"], x["last"], x["gram"], x["crowd"]) for x in found], np.int64).reshape(-1, 5)
+                own = np.frombuffer(found, FOUND)
                 padded = np.frombuffer(bytes(reach) + text.encode() + bytes(length), np.uint8)
                 rows = np.zeros(len(own), kind)
-                rows["gram"], rows["cls"] = own[:, 3].view("<u8"), np.frombuffer(cls, "V16")[0]
-                rows["place"], rows["first"], rows["last"] = own[:, 0], own[:, 1], own[:, 2]
-                rows["bytes"] = padded[own[:, :1] + np.arange(width)]
-                crowd = own[:, 4] > 0
+                rows["cls"] = np.frombuffer(cls, "V16")[0]
+                for c in ("gram", "place", "first", "last"):
+                    rows[c] = own[c]
+                rows["bytes"] = padded[own["place"].astype(np.int64)[:, None] + np.arange(width)]
+                crowd = own["crowd"] > 0
                 few.append(rows[~crowd])
                 many.append(rows[crowd])
             parts = list(in_buckets(np.concatenate(few))) if few else []
-            m = len(parts)
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary()), pa.nulls(m, pa.binary()), *(pa.nulls(m, k) for k in (pa.int32(), pa.int64(), pa.int64()))], schema)
             many = np.concatenate(many) if many else np.zeros(0, kind)
-            for lo in range(0, len(many), 1024):
-                rows = many[lo : lo + 1024]
-                spots = [np.arange(reach - int(f), reach - int(t) + 1) for f, t in zip(rows["first"], rows["last"], strict=True)]
-                row, at = np.repeat(np.arange(len(rows)), [len(x) for x in spots]), np.concatenate(spots)
-                scale = powers(reach + 1)[::-1]
-                sums, others = prefix_hashes(rows["bytes"]), prefix_hashes(rows["bytes"], OTHER_BASE)
-                a = mixed((sums[row, at + length] - sums[row, at]) * scale[at])
-                b = mixed((others[row, at + length] - others[row, at]) * powers(reach + 1, OTHER_BASE)[::-1][at])
-                names = pa.array([x.tobytes() for x in rows["cls"]], pa.binary()).take(pa.array(row))
-                start = (rows["place"].astype(np.int64)[row] - reach + at).astype(np.int32)
-                n = len(row)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), names, pa.array(start), pa.array(a.view("<i8")), pa.array(b.view("<i8"))], schema)
+            parts += [(None, zstandard.compress(many[i : i + 2048].tobytes(), 1)) for i in range(0, len(many), 2048)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["bucket", "held"])
 
     return cut
 
 
-AROUND = "bucket int, held binary, cls binary, start int, hash_a long, hash_b long"
+def strings_of(rows: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """All strings that the anchors serve: the anchor's number, the start, and two hashes of the whole string."""
+    reach = length - GRAM
+    first, last = reach - rows["first"].astype(np.int64), reach - rows["last"].astype(np.int64)
+    n = last - first + 1
+    row = np.repeat(np.arange(len(rows)), n)
+    at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+    hashes = []
+    for base in (BASE, OTHER_BASE):
+        sums = prefix_hashes(rows["bytes"], base)
+        hashes.append(mixed((sums[row, at + length] - sums[row, at]) * powers(reach + 1, base)[::-1][at]))
+    return row, rows["place"].astype(np.int64)[row] - reach + at, *hashes
+
+
+def hashed_strings(length: int):
+    """A mapInArrow function: the two hashes of a crowd's strings, in buckets; of equal ones in a block two stay."""
+    kind = kinds(length, True)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in (x for b in batches for x in b.column("held").to_pylist()):
+            _, _, a, b = strings_of(np.frombuffer(zstandard.decompress(held), kind), length)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            third = np.zeros(len(a), bool)
+            third[2:] = (a[2:] == a[:-2]) & (b[2:] == b[:-2])
+            pairs = np.stack([a, b], axis=1)[~third]
+            cuts = np.searchsorted(pairs[:, 0], np.arange(1, BUCKETS, dtype=np.uint64) << np.uint64(53))
+            parts = [(k, x.astype("<u8").tobytes()) for k, x in enumerate(np.split(pairs, cuts)) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["bucket", "held"])
+
+    return make
+
+
+def hashed_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each bucket's hashes that occur again."""
+    found: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for k, x in zip(batch.column("bucket").to_pylist(), batch.column("held").to_pylist(), strict=True):
+            found.setdefault(k, []).append(x)
+    for k, parts in found.items():
+        pairs = np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        again = np.zeros(len(pairs), bool)
+        again[1:] = (pairs[1:] == pairs[:-1]).all(axis=1)
+        once = again.copy()
+        once[1:] &= ~(again[:-1] & (pairs[1:] == pairs[:-1]).all(axis=1))
+        if once.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int(once.sum())], pa.int64()), pa.array([pairs[once].tobytes()], pa.binary())], ["bucket", "n", "held"])
+
+
+def crowd_spans(length: int, held):
+    """A mapInArrow function: the bytes that a crowd's strings cover whose hashes occur again."""
+    kind = kinds(length, True)
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = np.frombuffer(held.value, "<u8").reshape(-1, 2)
+        first, second = np.ascontiguousarray(twice[:, 0]), twice[:, 1]
+        for packed in (x for b in batches for x in b.column("held").to_pylist()):
+            rows = np.frombuffer(zstandard.decompress(packed), kind)
+            row, start, a, b = strings_of(rows, length)
+            hit = np.zeros(len(row), bool)
+            lo, hi = np.searchsorted(first, a), np.searchsorted(first, a, side="right")
+            for step in range(int((hi - lo).max(initial=0))):  # almost always one
+                own = np.flatnonzero(lo + step < hi)
+                hit[own] |= second[lo[own] + step] == b[own]
+            own, low, high = runs(row[hit], start[hit])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in rows["cls"][own]], pa.binary()), pa.array(low), pa.array(high + length)], ["cls", "start", "end"])
+
+    return spans
 
 
 def runs(cls: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,17 +288,6 @@ def sorted_spans(length: int):
     return spans
 
 
-def merged_starts(length: int):
-    """A mapInArrow function: the bytes that consecutive repeated starts cover."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls, lo, hi = runs(np.array(batch.column("cls").to_pylist(), object), batch.column("start").to_numpy().astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(list(cls), pa.binary()), pa.array(lo), pa.array(hi + length)], ["cls", "start", "end"])
-
-    return merge
-
-
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of bytes that any span covers; spans that touch are one."""
     out: list[list[int]] = []
@@ -269,15 +319,22 @@ def repeated_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     classes = written(long.groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.xxhash64("key")).alias("rep")), "classes")
     reps = joined(long, classes, "24").where(F.xxhash64("key") == F.col("rep")).select("cls", "text")
     found = reps.mapInArrow(find_anchors(length), "bucket int, held binary").repartition("bucket").mapInArrow(repeated_anchors(length), ANCHORS)
-    flags = found.groupBy("cls").agg(F.collect_list(F.struct("place", "first", "last", "gram", "crowd")).alias("found"))
-    flags = written(flags, "anchors")
-    near = written(joined(reps, flags, "24 * size(found) + 16").mapInArrow(around(length), AROUND), "around")
-    sorted_ = near.where("bucket is not null").select("bucket", "held").repartition("bucket").mapInArrow(sorted_spans(length), "cls binary, start long, end long")
-    crowd = near.where("bucket is null").select("cls", "start", "hash_a", "hash_b")
-    twice = crowd.groupBy("hash_a", "hash_b").agg(F.count("*").alias("n")).where("n > 1").select("hash_a", "hash_b")
-    covered = crowd.join(twice, ["hash_a", "hash_b"]).select("cls", "start").sortWithinPartitions("cls", "start").mapInArrow(merged_starts(length), "cls binary, start long, end long")
+    joint = F.aggregate(F.collect_list("found"), F.lit(b""), lambda x, y: F.concat(x, y))
+    flags = written(found.groupBy("cls").agg(joint.alias("found")), "anchors")
+    near = written(joined(reps, flags, "octet_length(found) + 16").mapInArrow(around(length), "bucket int, held binary"), "around")
+    sorted_ = near.where("bucket is not null").repartition("bucket").mapInArrow(sorted_spans(length), "cls binary, start long, end long")
+    crowd = near.where("bucket is null").select("held")
+    twice = crowd.mapInArrow(hashed_strings(length), "bucket int, held binary").repartition("bucket").mapInArrow(hashed_twice, "bucket int, n long, held binary")
+    twice = written(twice, "twice")
+    passes = max(1, -(-twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 16 // BROADCAST_BYTES))
+    spans = sorted_
+    for k in range(passes):  # each holds a bounded part of the hashes
+        low, high = k * BUCKETS // passes, (k + 1) * BUCKETS // passes
+        part = twice.where(F.col("bucket").between(low, high - 1)).orderBy("bucket").select("held").collect()
+        held = docs.sparkSession.sparkContext.broadcast(b"".join(bytes(r["held"]) for r in part))
+        spans = spans.union(crowd.mapInArrow(crowd_spans(length, held), "cls binary, start long, end long"))
     whole = classes.where("copies > 1").select("cls", F.lit(True).alias("whole"))
-    spans = sorted_.union(covered).groupBy("cls").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
+    spans = spans.groupBy("cls").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
     spans = written(spans.join(whole, "cls", "full").select("cls", "parts", "whole"), "spans")
     return joined(own, spans, "17 + 16 * coalesce(size(parts), 0)", "left").select(F.col("key").alias(key), F.col("text").alias(text), "parts", F.coalesce("whole", F.lit(False)).alias("whole"))
 
