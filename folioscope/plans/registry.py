@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import geometry
+from . import content, control, geometry
 
-MODULES = [geometry]
+MODULES = [geometry, content, control]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
