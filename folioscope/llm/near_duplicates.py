@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, written
 from .graph import components
-from .shingles import shingle_set, signature
+from .shingles import FACTOR, mixed, shingle_set, signature
 
 #: Bytes of text held at a time, and buckets that hashes are dealt to.
 BLOCK, BUCKETS = 8 << 20, 2048
@@ -168,12 +168,14 @@ def postings(held, width: int, percent: int):
                 few = needed(n, -(-percent * n // 100), percent)
                 hot.append(rows[len(rare) :][rows["rest"][len(rare) :] >= few])
             rows = np.concatenate(plain) if plain else np.empty(0, POSTING)
-            rows = rows[np.argsort(rows["value"], kind="stable")]
-            cuts = np.searchsorted(rows["value"], np.arange(1, BUCKETS, dtype=np.uint64) << np.uint64(53))
-            parts = [(i, packed(x)) for i, x in enumerate(np.split(rows, cuts)) if len(x)]
+            # retained values are least ones, so their hashes are spread anew
+            own = (mixed(rows["value"] ^ FACTOR) >> np.uint64(53)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            cuts = np.searchsorted(own[order], np.arange(1, BUCKETS))
+            parts = [(i, packed(x)) for i, x in enumerate(np.split(rows[order], cuts)) if len(x)]
             hot = np.concatenate(hot) if hot else np.empty(0, POSTING)
             m, n = len(parts), len(hot)
-            bucket = pa.array([*(i for i, _ in parts), *(hot["key"] % BUCKETS).tolist()], pa.int32())
+            bucket = pa.array([*(i for i, _ in parts), *(mixed(hot["value"] ^ hot["key"].view("<u8")) >> np.uint64(53)).tolist()], pa.int32())
             strings = pa.array([*(x for _, x in parts), *[None] * n], pa.binary())
             own = [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(hot[c].view("<i8") if c == "value" else hot[c])]) for c in ("value", "key")]
             yield pa.RecordBatch.from_arrays([bucket, strings, *own], ["bucket", "held", "value", "key"])
