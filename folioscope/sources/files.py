@@ -72,12 +72,12 @@ def csv_catalog(spark: SparkSession, path: str, lists: list[str]) -> DataFrame:
     """A catalogue in CSV whose list columns hold items between semicolons."""
     rows = spark.read.option("header", "true").option("encoding", "UTF-8").csv(path)
     rows = rows.toDF(*(c.lstrip("﻿") for c in rows.columns))
-    return rows.withColumns({c: F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != "") for c in lists})
+    return rows.withColumns({c: F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "") for c in lists})
 
 
 def markdown_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Tickets in Markdown: a level-two heading with an id and a title, then bullets ``name: value``."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     blocks = whole.select(F.explode(F.split("value", r"(?m)^(?=## )")).alias("block")).where(F.col("block").startswith("## "))
     head = lambda group: F.regexp_extract("block", r"^## +([A-Za-z0-9_-]+)[ :]+(.*)", group)
     keys, values = (F.regexp_extract_all("block", F.lit(r"(?m)^[-*] +([^:\n]+): *(.*)$"), F.lit(g)) for g in (1, 2))
