@@ -88,7 +88,7 @@ def train(samples: DataFrame) -> list[float]:
 
 
 def samples(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Labelled tokens: generated random strings in the usual encodings, and words of a bounded sample of documents.
+    """Labelled tokens: generated random strings in the usual encodings, and words of a bounded sample of documents, alone and joined.
 
     Tokens that the fixed patterns match aren't taken as ordinary. The bounds are SAMPLE_DOCS, SAMPLE_CHARS and
     SAMPLE_RANDOM; the documents are those with the least hashes of their texts.
@@ -101,7 +101,11 @@ def samples(docs: DataFrame, text: str = "text") -> DataFrame:
     share = min(1.0, 3 * SAMPLE_DOCS / max(1, total))
     own = docs.select(F.col(text).alias("text"), F.pmod(F.xxhash64(text, F.lit("secrets")), F.lit(1 << 30)).alias("spot"))
     own = own.where(F.col("text").isNotNull() & (F.col("spot") < int(share * (1 << 30)) + 1)).orderBy("spot").limit(SAMPLE_DOCS)
-    words = own.select(F.explode(F.regexp_extract_all(F.substring("text", 1, SAMPLE_CHARS), F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("token"))
+    listed = own.select(F.regexp_extract_all(F.substring("text", 1, SAMPLE_CHARS), F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0)).alias("words"))
+    # neighbours joined as identifiers are, in turn by a dash, an underscore and nothing
+    signs = F.array(*map(F.lit, ("-", "_", "")))
+    joint = F.zip_with("words", F.slice("words", F.lit(2), F.size("words") + 1), lambda a, b: F.concat(a, F.get(signs, F.length(a) % 3), F.coalesce(b, a)))
+    words = listed.select(F.explode(F.concat("words", joint)).alias("token"))
     ordinary = words.where(~F.col("token").rlike(f"{HEX}|{ACCESS}|(?=.*[0-9])(?=.*[A-Za-z]).{{16,}}")).select("token", F.lit(False).alias("random"))
     return random.unionByName(ordinary)
 
