@@ -14,7 +14,7 @@ from .common import by_bytes
 from .fm_index import FMIndex
 
 #: Bytes of text in a shard.
-SHARD = 24 << 20
+SHARD = 6 << 20
 
 #: Bytes of benchmark text that the executors get at a time; a larger benchmark goes in blocks.
 BLOCK = 16 << 20
@@ -169,7 +169,7 @@ def _matcher(held, last: bool):
             spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
             at = np.flatnonzero(hit)
             docs, firsts = np.unique(shard.doc[at], return_index=True)
-            for d, places in zip(docs, np.split(shard.place[at], firsts[1:]), strict=True):
+            for d, places in zip(docs, np.split(shard.place[at], firsts[1:]) if len(at) else [], strict=True):
                 own = word_spans(places)
                 if spans[d]:
                     old = np.concatenate([np.arange(x["start"], x["end"]) for x in spans[d]])
