@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content, control, geometry, kernels, ledgers
+from . import association, content, control, geometry, kernels, ledgers
 
-MODULES = [geometry, content, control, kernels, ledgers]
+MODULES = [geometry, content, control, kernels, ledgers, association]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
