@@ -122,7 +122,7 @@ class Network:
         self.forward, self.backward = (Direction.new(rng, hidden, len(names)) for _ in range(2))
         self.bias = np.zeros(len(names), np.float32)
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, rng: np.random.Generator, steps: int = 500, batch: int = 192, rate: float = 0.01) -> None:
+    def train(self, windows: np.ndarray, labels: np.ndarray, rng: np.random.Generator, steps: int = 350, batch: int = 192, rate: float = 0.01) -> None:
         """Adam on the cross entropy of the language at each byte; windows: full windows of bytes, a row each."""
         own = [*self.forward.arrays(), *self.backward.arrays(), self.bias]
         first, second = [np.zeros_like(a) for a in own], [np.zeros_like(a) for a in own]
