@@ -15,6 +15,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -262,34 +263,70 @@ def html_grid(markup: str) -> list[tuple[int, int, int, int, str]] | None:
 # Kernels as DataFrame operators
 
 
+def by_page(rows: DataFrame, key: str, columns: list[str], schema: str, kernel) -> DataFrame:
+    """Runs a kernel on each page's columns: a list of arrays in, a list of arrays out, the key put in front.
+
+    Pages are brought together by one shuffle and sorted, and a batch then holds many of them: a page costs no more than its kernel.
+    Only a page that a batch cuts is held over, so memory is bounded by the largest page.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = table.column(0).to_numpy()
+            arrays = [table.column(c).to_numpy() for c in columns]
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            found = [kernel(*part) for part in zip(*(np.split(x, cuts) for x in arrays), strict=True)]
+            sizes = [len(f[0]) for f in found]
+            first = keys[np.concatenate([[0], cuts])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(first, sizes)), *(pa.array(np.concatenate(c)) for c in zip(*found, strict=True))], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            keys = batch.column(0).to_numpy()
+            if keys[0] == keys[-1]:  # the page may go on
+                continue
+            last = int(np.searchsorted(keys, keys[-1]))
+            yield from flush(pa.Table.from_batches([*held[:-1], batch.slice(0, last)]))
+            held = [batch.slice(last)]
+        if held:
+            yield from flush(pa.Table.from_batches(held))
+
+    names = [key, *(c.split(" ")[0] for c in schema.split(", "))]
+    own = rows.select(F.col(key).cast("long").alias(key), *columns).where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *columns)
+    return own.mapInArrow(run, f"{key} long, {schema}")
+
+
 def clustered(boxes: DataFrame, key: str, gap: float = 10.0) -> DataFrame:
     """The envelopes of each page's boxes that lie within a gap of each other: key, ordinal, sides and n."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, counts = closure(pdf[SIDES].to_numpy(float), gap)
-        out = pd.DataFrame(found, columns=SIDES)
-        return out.assign(**{key: pdf[key].iloc[0], "ordinal": np.arange(1, len(out) + 1), "n": counts})[[key, "ordinal", *SIDES, "n"]]
+    def run(*sides: np.ndarray) -> list[np.ndarray]:
+        found, counts = closure(np.stack(sides, axis=1), gap)
+        return [np.arange(1, len(found) + 1), *found.T, counts]
 
-    return boxes.select(key, *SIDES).groupBy(key).applyInPandas(run, f"{key} long, ordinal long, x0 double, y0 double, x1 double, y1 double, n long")
+    return by_page(boxes, key, SIDES, "ordinal long, x0 double, y0 double, x1 double, y1 double, n long", run)
 
 
 def in_rows(boxes: DataFrame, key: str) -> DataFrame:
     """Each box with the number of its row, from 1."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(row=row_numbers(pdf[SIDES].to_numpy(float)) + 1)[[key, "box_id", "row"]]
+    def run(ids: np.ndarray, *sides: np.ndarray) -> list[np.ndarray]:
+        return [ids, row_numbers(np.stack(sides, axis=1)) + 1]
 
-    return boxes.select(key, "box_id", *SIDES).groupBy(key).applyInPandas(run, f"{key} long, box_id long, row long")
+    return by_page(boxes, key, ["box_id", *SIDES], "box_id long, row long", run)
 
 
 def matched(edges: DataFrame, key: str) -> DataFrame:
     """Greedy one-to-one matches of each page from rows (key, gt_id, prediction_id, iou)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = greedy_matches(list(zip(pdf["iou"], pdf["gt_id"], pdf["prediction_id"], strict=True)))
-        return pd.DataFrame([(pdf[key].iloc[0], *m) for m in found], columns=[key, "gt_id", "prediction_id", "iou"])
+    def run(gt: np.ndarray, found: np.ndarray, iou: np.ndarray) -> list[np.ndarray]:
+        rows = greedy_matches(list(zip(iou.tolist(), gt.tolist(), found.tolist(), strict=True)))
+        return [np.array([r[i] for r in rows], kind) for i, kind in enumerate((object, object, float))]
 
-    return edges.select(key, "gt_id", "prediction_id", "iou").groupBy(key).applyInPandas(run, f"{key} long, gt_id string, prediction_id string, iou double")
+    return by_page(edges, key, ["gt_id", "prediction_id", "iou"], "gt_id string, prediction_id string, iou double", run)
 
 
 def _mapped(kind: str, function):
