@@ -6,7 +6,8 @@ the corpus are out. For the others the bytes around the anchor go to the bucket
 starts of all strings that have this anchor are suffix-sorted by hash-compared merge sort: a string repeats if it
 agrees with a neighbour in all ``length`` bytes. An anchor that very many documents share is split by the strings themselves:
 those go by two hashes to where equal ones meet, so that no bucket grows with a passage's documents.
-Exact copies of a text are one class, of which one member is sorted.
+Exact copies of a text are one class: a long text with copies is covered as a whole, and in a task one of them stands for
+all. Documents meet their anchors and their spans by shuffled joins on the class.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ GRAM, BLOCK, BUCKETS = 50, 2 << 20, 2048
 #: Places that share an anchor from which it is split by its strings.
 CROWD = 64
 
-#: Bytes of a table that is sent to all executors, at most.
-BROADCAST_BYTES = 48 << 20
+#: Bytes of hashes that are sent to all executors at once, and classes that a task remembers.
+BROADCAST_BYTES, MOST_SEEN = 48 << 20, 1 << 17
 
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 OTHER_BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -87,10 +88,11 @@ def kinds(length: int, context: bool) -> np.dtype:
 
 
 def in_buckets(rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The records by the upper bits of their gram hash, packed."""
-    rows = rows[np.argsort(rows["gram"], kind="stable")]
-    cuts = np.searchsorted(rows["gram"], np.arange(1, BUCKETS, dtype=np.uint64) << np.uint64(53))
-    for k, part in enumerate(np.split(rows, cuts)):
+    """The records by the bucket of their gram, packed. Grams of anchors are least ones, so their hashes are spread anew."""
+    bucket = (mixed(rows["gram"] ^ OTHER_BASE) >> np.uint64(53)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(1, BUCKETS))
+    for k, part in enumerate(np.split(rows[order], cuts)):
         if len(part):
             yield k, zstandard.compress(part.tobytes(), 1)
 
@@ -116,11 +118,16 @@ def find_anchors(length: int):
     kind = kinds(length, False)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in by_bytes(batches, "text", BLOCK):
-            texts = [t.encode() for t in batch.column("text").to_pylist()]
-            doc, place, gram, first, last = anchors(texts, length)
+            fresh = {}  # of copies in a task one is enough
+            for c, t in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if c not in seen:
+                    fresh.setdefault(c, t.encode())
+            seen.update(fresh) if len(seen) < MOST_SEEN else seen.clear()
+            doc, place, gram, first, last = anchors(list(fresh.values()), length)
             rows = np.zeros(len(doc), kind)
-            cls = np.frombuffer(b"".join(batch.column("cls").to_pylist()), "V16")
+            cls = np.frombuffer(b"".join(fresh), "V16")
             rows["gram"], rows["cls"], rows["place"], rows["first"], rows["last"] = gram, cls[doc], place, place - first, place - last
             parts = list(in_buckets(rows))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["bucket", "held"])
@@ -165,8 +172,11 @@ def around(length: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BLOCK):
-            few, many = [], []
+            few, many, last = [], [], None
             for text, cls, found in zip(*(batch.column(c).to_pylist() for c in ("text", "cls", "found")), strict=True):
+                if cls == last:  # copies stand together after the join
+                    continue
+                last = cls
                 own = np.frombuffer(found, FOUND)
                 padded = np.frombuffer(bytes(reach) + text.encode() + bytes(length), np.uint8)
                 rows = np.zeros(len(own), kind)
@@ -299,12 +309,6 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def joined(rows: DataFrame, table: DataFrame, size: str, how: str = "inner") -> DataFrame:
-    """The rows with the table's by class: a broadcast join where the table's counted bytes are few, else a shuffled one."""
-    small = table.agg(F.coalesce(F.sum(F.expr(size)), F.lit(0))).first()[0] <= BROADCAST_BYTES
-    return rows.join(F.broadcast(table) if small else table, "cls", how)
-
-
 def repeated_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's bytes that lie in a string of ``length`` bytes which also starts elsewhere: key, text and spans.
 
@@ -316,12 +320,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.withColumn("cls", F.unhex(F.md5("text"))).withColumn("size", F.octet_length("text"))
     long = own.where(F.col("size") >= length)
-    classes = written(long.groupBy("cls").agg(F.count("*").alias("copies"), F.min(F.xxhash64("key")).alias("rep")), "classes")
-    reps = joined(long, classes, "24").where(F.xxhash64("key") == F.col("rep")).select("cls", "text")
-    found = reps.mapInArrow(find_anchors(length), "bucket int, held binary").repartition("bucket").mapInArrow(repeated_anchors(length), ANCHORS)
+    classes = long.groupBy("cls").agg(F.count("*").alias("copies"))
+    found = long.select("cls", "text").mapInArrow(find_anchors(length), "bucket int, held binary").repartition("bucket").mapInArrow(repeated_anchors(length), ANCHORS)
     joint = F.aggregate(F.collect_list("found"), F.lit(b""), lambda x, y: F.concat(x, y))
     flags = written(found.groupBy("cls").agg(joint.alias("found")), "anchors")
-    near = written(joined(reps, flags, "octet_length(found) + 16").mapInArrow(around(length), "bucket int, held binary"), "around")
+    near = written(long.join(flags, "cls").select("cls", "text", "found").mapInArrow(around(length), "bucket int, held binary"), "around")
     sorted_ = near.where("bucket is not null").repartition("bucket").mapInArrow(sorted_spans(length), "cls binary, start long, end long")
     crowd = near.where("bucket is null").select("held")
     twice = crowd.mapInArrow(hashed_strings(length), "bucket int, held binary").repartition("bucket").mapInArrow(hashed_twice, "bucket int, n long, held binary")
@@ -336,7 +339,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     whole = classes.where("copies > 1").select("cls", F.lit(True).alias("whole"))
     spans = spans.groupBy("cls").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
     spans = written(spans.join(whole, "cls", "full").select("cls", "parts", "whole"), "spans")
-    return joined(own, spans, "17 + 16 * coalesce(size(parts), 0)", "left").select(F.col("key").alias(key), F.col("text").alias(text), "parts", F.coalesce("whole", F.lit(False)).alias("whole"))
+    return own.join(spans, "cls", "left").select(F.col("key").alias(key), F.col("text").alias(text), "parts", F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
 def removed(found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
