@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -77,8 +79,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def settle() -> None:
+    """Gives memory that a worker no longer uses back to the machine, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts have about ``most`` bytes together, one row at least."""
+    """Slices of the batches whose texts have about ``most`` bytes together, one row at least; tidies up at the end."""
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
@@ -89,3 +98,4 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
             total += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+    settle()
