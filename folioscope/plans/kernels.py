@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import boxes as box_ops
 from ..operators import kernels as k
 from ..operators import pages as page_ops
-from ..operators import revision
+from ..operators import markdown, revision, routing, styles
 from .views import boxes, predicted, runs, table, turns
 
 
@@ -82,3 +82,31 @@ ORACLES = {
     "rev_apply": """WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:4]) AS t, generate_subscripts(string_split(text, chr(10))[1:4], 1) AS ord FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k FROM (SELECT doc_id, CAST(ord AS BIGINT) AS ord, substr(t, 1, 60) AS t FROM r))
 SELECT doc_id AS document_id, CASE WHEN k = 1 THEN ord WHEN ord = 1 THEN ord ELSE ord - 1 END AS ord, 'b' || ord AS id, CASE WHEN k > 1 AND ord = 1 THEN 'fixed' || (SELECT t FROM n m WHERE m.doc_id = n.doc_id AND m.ord = 2) ELSE t END AS text, 'flow' AS policy, CASE WHEN k = 1 THEN 'INVALID_MERGE' END AS error FROM n WHERE k = 1 OR ord <> 2""",
 }
+
+
+def route_page(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of boxes: N boxes are runs, of which some aren't trusted, A boxes images, R boxes paths."""
+    kind = F.when(F.col("label") == "N", 1).when(F.col("label") == "R", 2).otherwise(3)
+    rows = boxes(spark, d).withColumns({"type": kind, "trusted": F.col("box_id") % 3 > 0, "width": F.lit(80.0), "height": F.lit(80.0)})
+    return routing.regions(rows, "page_id")
+
+
+def prj_ovis(spark: SparkSession, d: str) -> DataFrame:
+    marked = F.concat(F.lit("# Title\n\n1. "), F.regexp_replace("text", "\n", "\n\n"), F.lit("\n\nA. one B. two $x+1$\n\n第 3 题"))
+    return markdown.blocks(table(spark, d, "documents").select("doc_id", marked.alias("text")), "doc_id", "text")
+
+
+def txt_html_table_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.length(k._unary("string", markdown.visible_text)(F.col("html"))).cast("long").alias("n"))
+
+
+def vis_style_toggle(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as styles: each builds on the one of half its number; every third switches hiding on."""
+    own = table(spark, d, "part").select(F.lit(1).alias("document"), F.col("p_partkey").alias("style"))
+    parents = own.withColumn("based_on", F.when(F.col("style") > 1, F.floor(F.col("style") / 2).cast("long")))
+    toggles = own.withColumn("enabled", F.col("style") % 3 == 0)
+    return styles.hidden_styles(styles.chains(parents, "document"), toggles, "document").select("style", "hidden")
+
+
+QUERIES += [route_page, prj_ovis, txt_html_table_text, vis_style_toggle]
+ORACLES["vis_style_toggle"] = """WITH RECURSIVE c(style, a) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT style, a // 2 FROM c WHERE a > 1) SELECT style, count(*) FILTER (WHERE a % 3 = 0 AND a IN (SELECT p_partkey FROM part)) % 2 = 1 AS hidden FROM c GROUP BY style"""
