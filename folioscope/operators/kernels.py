@@ -386,3 +386,46 @@ def json_shape(c: Column) -> Column:
 def json_without_media(c: Column) -> Column:
     """A JSON text without media."""
     return _unary("string", lambda t: json.dumps(without_media(json.loads(t)), sort_keys=True, ensure_ascii=False))(c)
+
+
+def best_regions(figures: np.ndarray, regions: np.ndarray, least: float = 0.45, ambiguity: float = 0.8) -> list[int | None]:
+    """For each figure in order the unused region that it overlaps best, if it does enough and no other nearly as well."""
+    used: set[int] = set()
+    out: list[int | None] = []
+    for f in figures:
+        inner = np.maximum(np.minimum(f[2:], regions[:, 2:]) - np.maximum(f[:2], regions[:, :2]), 0).prod(axis=1) if len(regions) else np.empty(0)
+        joint = (f[2:] - f[:2]).prod() + (regions[:, 2:] - regions[:, :2]).prod(axis=1) - inner if len(regions) else inner
+        score = np.where(joint > 0, inner / np.where(joint > 0, joint, 1), 0.0)
+        order = np.argsort(-score, kind="stable")
+        best = int(order[0]) if len(order) else -1
+        clear = len(order) and score[best] >= least and (len(order) < 2 or score[order[1]] <= ambiguity * score[best])
+        if clear and best not in used:
+            used.add(best)
+            out.append(best)
+        else:
+            out.append(None)
+    return out
+
+
+def grid_columns(boxes: np.ndarray) -> int | None:
+    """Columns of a grid of figures given in reading order; None where the order differs or a row but the last is short."""
+    rows = row_numbers(boxes)
+    order = np.lexsort((boxes[:, 0], rows))
+    counts = np.bincount(rows)
+    regular = (order == np.arange(len(boxes))).all() and (counts[:-1] == counts.max()).all()
+    return int(counts.max()) if regular else None
+
+
+def component_numbers(units: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Units that share parts, by whatever chain, get one number: the distinct units and their components' least units."""
+    names, unit = np.unique(units, return_inverse=True)
+    part = np.unique(parts, return_inverse=True)[1]
+    label = np.arange(len(names))
+    while True:
+        least = np.full(part.max(initial=-1) + 1, len(names))
+        np.minimum.at(least, part, label[unit])
+        fresh = label.copy()
+        np.minimum.at(fresh, unit, least[part])
+        if (fresh == label).all():
+            return names, names[label]
+        label = fresh

@@ -296,3 +296,49 @@ SELECT page_id, max(r) + 1 AS rows, max(k) + 1 AS cols, count(*) = count(DISTINC
     "flt_locked": "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY l_orderkey",
     "srt_candidates": f"WITH {BOXES} SELECT page_id, box_id, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN label = 'R' THEN 1 ELSE 0 END, x0 DESC, box_id) AS place FROM boxes",
 }
+
+
+def agg_table_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of expected and found tables: how many are there, and how many have the same text."""
+    cells = boxes(spark, d).select("page_id", (F.col("box_id") % 3).alias("row"), (F.floor(F.col("box_id") / 3)).cast("long").alias("col"), "label")
+    found = cells.withColumn("label", F.when(F.col("col") == 1, "X").otherwise(F.col("label"))).where("row <> 2").withColumnRenamed("label", "got")
+    joined = cells.join(found, ["page_id", "row", "col"], "left")
+    return joined.groupBy("page_id").agg(F.count("*").alias("cells"), F.count("got").alias("there"), m.count_if(F.col("got") == F.col("label")).alias("equal"))
+
+
+def con_truth(spark: SparkSession, d: str) -> DataFrame:
+    """Order constraints whose ends aren't confirmed boxes."""
+    own = boxes(spark, d)
+    pairs = own.select("page_id", F.col("box_id").alias("a"), (F.col("box_id") + 2).alias("b"))
+    confirmed = own.where("label <> 'R'").select("page_id", "box_id")
+    side = lambda c: pairs.join(confirmed.withColumnRenamed("box_id", c), ["page_id", c], "left_anti").select("page_id", "a", "b")
+    return side("a").union(side("b")).distinct()
+
+
+def con_plan_bind(spark: SparkSession, d: str) -> DataFrame:
+    """The first reason why a plan doesn't hold any more, or null."""
+    rows = ledger(spark, d).withColumn("hash", F.sha2(F.concat_ws(":", "provider", "variant"), 256))
+    checks = ((F.col("event_id") % 11 == 0, "PLAN_HASH"), (F.col("duration_ms") > 90, "PLAN_EXPIRED"), (F.col("event_id") % 7 == 0, "PLAN_BUDGET"), (F.substring("hash", 1, 1) == "a", "PLAN_SOURCE"))
+    return rows.select("event_id", F.coalesce(*(F.when(c, code) for c, code in checks)).alias("code"))
+
+
+def con_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Columns whose row spans aren't those that the owner gave."""
+    own = boxes(spark, d).where("page_id < 300").select("page_id", (F.col("box_id") % 2).alias("col"), F.col("box_id").alias("row"), F.length("label").cast("long").alias("rowspan"))
+    return gov.unequal_rows(own, own.where("page_id % 5 <> 0"))
+
+
+def lin_identity(spark: SparkSession, d: str) -> DataFrame:
+    """One hash of each conversation's turns, in order."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat_ws("|", x["turn"], x["role"], F.sha2(x["text"], 256)))
+    return turns(spark, d).groupBy("conv_id").agg(F.sha2(F.array_join(parts, ","), 256).alias("identity"))
+
+
+QUERIES += [agg_table_scores, con_truth, con_plan_bind, con_spans, lin_identity]
+ORACLES |= {
+    "agg_table_scores": f"WITH {BOXES} SELECT page_id, count(*) AS cells, count(*) FILTER (WHERE box_id % 3 <> 2) AS there, count(*) FILTER (WHERE box_id % 3 <> 2 AND box_id // 3 <> 1) AS equal FROM boxes GROUP BY page_id",
+    "con_truth": f"WITH {BOXES} SELECT a.page_id, a.box_id AS a, a.box_id + 2 AS b FROM boxes a LEFT JOIN boxes b ON a.page_id = b.page_id AND b.box_id = a.box_id + 2 AND b.label <> 'R' WHERE a.label = 'R' OR b.box_id IS NULL",
+    "con_plan_bind": f"WITH {LEDGER} SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'PLAN_HASH' WHEN duration_ms > 90 THEN 'PLAN_EXPIRED' WHEN event_id % 7 = 0 THEN 'PLAN_BUDGET' WHEN substr(sha256(provider || ':' || variant), 1, 1) = 'a' THEN 'PLAN_SOURCE' END AS code FROM ledger",
+    "con_spans": f"WITH {BOXES} SELECT page_id, box_id % 2 AS col, box_id AS row, CAST(length(label) AS BIGINT) AS rowspan, 'left' AS side FROM boxes WHERE page_id < 300 AND page_id % 5 = 0",
+    "lin_identity": "SELECT conv_id, sha256(string_agg(turn || '|' || role || '|' || sha256(text), ',' ORDER BY turn, role, text)) AS identity FROM conversations GROUP BY conv_id",
+}

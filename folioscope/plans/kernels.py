@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from ..operators import boxes as box_ops
 from ..operators import kernels as k
 from ..operators import pages as page_ops
 from ..operators import markdown, revision, routing, styles
-from .views import boxes, predicted, runs, table, turns
+from .views import BOXES, boxes, predicted, runs, table, turns
 
 
 def geo_cluster_regions(spark: SparkSession, d: str) -> DataFrame:
@@ -110,3 +111,55 @@ def vis_style_toggle(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES += [route_page, prj_ovis, txt_html_table_text, vis_style_toggle]
 ORACLES["vis_style_toggle"] = """WITH RECURSIVE c(style, a) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT style, a // 2 FROM c WHERE a > 1) SELECT style, count(*) FILTER (WHERE a % 3 = 0 AND a IN (SELECT p_partkey FROM part)) % 2 = 1 AS hidden FROM c GROUP BY style"""
+
+
+def join_figure_region(spark: SparkSession, d: str) -> DataFrame:
+    """For each A box in order the N or R box that it overlaps best."""
+
+    def run(ids, figure, *sides):
+        at, b = figure.astype(bool), np.stack(sides, axis=1)
+        order = np.lexsort((ids[at],))
+        found = k.best_regions(b[at][order], b[~at], least=0.1)
+        rows = [(ids[at][order][i], ids[~at][r]) for i, r in enumerate(found) if r is not None]
+        return [np.array([r[0] for r in rows], "int64"), np.array([r[1] for r in rows], "int64")]
+
+    own = boxes(spark, d).withColumn("figure", (F.col("label") == "A").cast("int"))
+    return k.by_page(own, "page_id", ["box_id", "figure", *k.SIDES], "figure_id long, region long", run)
+
+
+def agg_component_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of a page that share an x cell of 10 or a row of 10, by whatever chain."""
+    own = boxes(spark, d).select("page_id", "box_id", F.explode(F.array(F.floor(F.col("x0") / 10), F.floor(F.col("y0") / 10) + 1000)).alias("part"))
+    return k.by_page(own.withColumn("part", F.col("part").cast("long")), "page_id", ["box_id", "part"], "box_id long, component long", lambda u, p: list(k.component_numbers(u, p)))
+
+
+def geo_expand_native(spark: SparkSession, d: str) -> DataFrame:
+    """The first box of each page, grown over all it touches."""
+
+    def run(ids, *sides):
+        b = np.stack(sides, axis=1)
+        return [np.array([x]) for x in k.grown_over(b[ids.argmin()], b)]
+
+    return k.by_page(boxes(spark, d), "page_id", ["box_id", *k.SIDES], "x0 double, y0 double, x1 double, y1 double", run)
+
+
+def geo_text_rows(spark: SparkSession, d: str) -> DataFrame:
+    def run(ids, *sides):
+        b = np.stack(sides, axis=1)
+        order = np.lexsort((ids, b[:, 0], b[:, 1]))
+        return [ids[order], k.line_numbers((b[order, 1] + b[order, 3]) / 2, b[order, 3] - b[order, 1]) + 1]
+
+    return k.by_page(boxes(spark, d), "page_id", ["box_id", *k.SIDES], "box_id long, line long", run)
+
+
+def geo_grid_columns(spark: SparkSession, d: str) -> DataFrame:
+    def run(ids, *sides):
+        columns = k.grid_columns(np.stack(sides, axis=1)[np.argsort(ids)])
+        return [np.array([columns or 0])]
+
+    return k.by_page(boxes(spark, d), "page_id", ["box_id", *k.SIDES], "columns long", run)
+
+
+QUERIES += [join_figure_region, agg_component_groups, geo_expand_native, geo_text_rows, geo_grid_columns]
+ORACLES["agg_component_groups"] = f"""WITH RECURSIVE {BOXES}, e AS (SELECT DISTINCT a.page_id, a.box_id AS a, b.box_id AS b FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND (floor(a.x0 / 10) = floor(b.x0 / 10) OR floor(a.y0 / 10) = floor(b.y0 / 10))),
+r(page_id, a, b) AS (SELECT page_id, a, b FROM e UNION SELECT r.page_id, r.a, e.b FROM r JOIN e ON r.page_id = e.page_id AND r.b = e.a) SELECT page_id, a AS box_id, min(b) AS component FROM r GROUP BY page_id, a"""
