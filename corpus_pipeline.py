@@ -23,7 +23,7 @@ from folioscope.shipping import ship
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 #: Below this mean probability no language is likely.
-LEAST_SCORE = 0.35
+LEAST_SCORE = 0.3
 
 
 def others(docs: DataFrame) -> tuple[str, ...]:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_bytes
@@ -31,7 +31,7 @@ BLOCK = 4 << 20
 SAMPLE_DOCS, SAMPLE_LANGS, SAMPLE_WINDOWS = 256, 64, 6
 
 #: Bytes of a training document that reach the driver.
-SAMPLE_BYTES = 16_384
+SAMPLE_BYTES = 8192
 
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -72,7 +72,7 @@ class Direction:
         """Gradients of the input and recurrent weights, back through time, for gradients given at each state."""
         hidden = self.recurrent.shape[0]
         inputs, recurrent = np.zeros_like(self.inputs), np.zeros_like(self.recurrent)
-        dh = np.zeros_like(given[0])
+        dh, steps = np.zeros_like(given[0]), np.empty((*symbols.shape, 3 * hidden), np.float32)
         for t in range(len(symbols) - 1, -1, -1):
             h, z, r, n, un = kept[t]
             dh = dh + given[t]
@@ -81,9 +81,12 @@ class Direction:
             dr = dn * un * r * (1 - r)
             dx = np.concatenate([dz, dr, dn], axis=1)
             du = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(inputs, symbols[t], dx)
+            steps[t] = dx
             recurrent += h.T @ du
             dh = dh * z + du @ self.recurrent.T
+        flat, rows = symbols.ravel(), steps.reshape(-1, 3 * hidden)
+        for k in range(3 * hidden):
+            inputs[:, k] = np.bincount(flat, rows[:, k], 256)
         return inputs, recurrent
 
     def scores(self, symbols: np.ndarray) -> np.ndarray:
@@ -122,13 +125,14 @@ class Network:
         self.forward, self.backward = (Direction.new(rng, hidden, len(names)) for _ in range(2))
         self.bias = np.zeros(len(names), np.float32)
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, rng: np.random.Generator, steps: int = 350, batch: int = 192, rate: float = 0.01) -> None:
-        """Adam on the cross entropy of the language at each byte; windows: full windows of bytes, a row each."""
+    def train(self, windows: np.ndarray, labels: np.ndarray, rng: np.random.Generator, steps: int = 600, batch: int = 192, rate: float = 0.01) -> None:
+        """Adam on the cross entropy of the language at each byte of half windows; windows: full ones, a row each."""
         own = [*self.forward.arrays(), *self.backward.arrays(), self.bias]
         first, second = [np.zeros_like(a) for a in own], [np.zeros_like(a) for a in own]
         for step in range(1, steps + 1):
             pick = rng.integers(0, len(windows), batch)
-            ahead = np.ascontiguousarray(windows[pick].T)
+            half = int(rng.integers(0, 2)) * (windows.shape[1] // 2)
+            ahead = np.ascontiguousarray(windows[pick, half : half + windows.shape[1] // 2].T)
             back = ahead[::-1]
             hf, kf = self.forward.states(ahead)
             hb, kb = self.backward.states(back)
@@ -201,17 +205,15 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null and key is not null")
     counts = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).collect()
-    rows: list[tuple[bytes, str]] = []
     if not counts:
         return None
     # a few times the share that is wanted, by hash, of which the least are taken
     share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 3 * SAMPLE_DOCS / r["n"]))) for r in counts))
     spot = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("language sample")), F.lit(1 << 30))
     near = own.withColumn("spot", spot).where(F.col("spot") < share * (1 << 30)).where(F.col("text").rlike(r"\p{L}"))
-    first = F.substring(F.col("text"), 1, SAMPLE_BYTES)
-    for r in counts:
-        part = near.where(F.col("lang") == r["lang"]).orderBy("spot", "key").limit(SAMPLE_DOCS).select(first.alias("text"))
-        rows += [(x["text"].encode(), r["lang"]) for x in part.collect()]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "key"))
+    least = near.select("lang", "spot", "key", F.substring("text", 1, SAMPLE_BYTES).alias("text")).withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS)
+    rows = [(r["text"].encode(), r["lang"]) for r in sorted(least.collect(), key=lambda r: (r["lang"], r["place"]))]
     names = sorted({lang for _, lang in rows})
     if not names:
         return None
