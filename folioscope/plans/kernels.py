@@ -10,6 +10,7 @@ from ..operators import boxes as box_ops
 from ..operators import kernels as k
 from ..operators import pages as page_ops
 from ..operators import markdown, revision, routing, styles
+from .geometry import UNION_AREA
 from .views import BOXES, boxes, predicted, runs, table, turns
 
 
@@ -64,7 +65,7 @@ def cls_page(spark: SparkSession, d: str) -> DataFrame:
     found = own.where("label = 'R'").withColumns({"text": F.when(F.col("page_id") % 7 == 0, F.lit("�")).otherwise(F.lit("a")), "geometry_verified": F.col("box_id") % 3 > 0})
     seen = page_ops.visibility(F.when(F.col("box_id") % 2 == 0, 3).otherwise(0), F.lit(255), F.col("x0") * 5)
     objects = own.where("label <> 'R'").withColumns({"type": F.when(F.col("label") == "N", 1).otherwise(3), "visibility": seen, "level": (F.col("box_id") % 5 == 0).cast("int")})
-    return page_ops.classified(pages, found, objects)
+    return page_ops.classified(pages, found, objects).withColumn("reason_codes", F.array_join("reason_codes", ","))
 
 
 def rev_apply(spark: SparkSession, d: str) -> DataFrame:
@@ -163,3 +164,10 @@ def geo_grid_columns(spark: SparkSession, d: str) -> DataFrame:
 QUERIES += [join_figure_region, agg_component_groups, geo_expand_native, geo_text_rows, geo_grid_columns]
 ORACLES["agg_component_groups"] = f"""WITH RECURSIVE {BOXES}, e AS (SELECT DISTINCT a.page_id, a.box_id AS a, b.box_id AS b FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND (floor(a.x0 / 10) = floor(b.x0 / 10) OR floor(a.y0 / 10) = floor(b.y0 / 10))),
 r(page_id, a, b) AS (SELECT page_id, a, b FROM e UNION SELECT r.page_id, r.a, e.b FROM r JOIN e ON r.page_id = e.page_id AND r.b = e.a) SELECT page_id, a AS box_id, min(b) AS component FROM r GROUP BY page_id, a"""
+ORACLES["cls_page"] = f"""WITH {BOXES}, src AS (SELECT * FROM boxes WHERE label = 'A'), {UNION_AREA}, p AS (SELECT page_id, page_id % 10 = 0 AS failed, count(*) FILTER (WHERE label = 'R') AS runs, count(*) FILTER (WHERE label <> 'R') AS objects,
+  bool_or(label = 'R') AND page_id % 7 = 0 AS abnormal, coalesce(bool_or(label = 'R' AND box_id % 3 = 0), false) AS unverified, count(DISTINCT CASE WHEN label = 'R' THEN (x0, y0, x1, y1) END) AS different, bool_or(label = 'A') AS image, bool_or(label = 'N') AS words,
+  bool_or(label = 'N' AND box_id % 2 <> 0) AS shown, bool_or(label = 'N' AND box_id % 2 <> 0 AND x0 * 5 >= 245) AS white, bool_or(label <> 'R' AND box_id % 5 = 0) AS nested FROM boxes GROUP BY page_id),
+k AS (SELECT *, CASE WHEN failed THEN 1 WHEN objects = 0 AND runs = 0 THEN 2 WHEN runs = 0 AND image THEN 3 WHEN runs = 0 THEN 4 WHEN abnormal THEN 5 WHEN image AND words AND NOT shown THEN 6 WHEN words AND NOT shown THEN 7 WHEN white THEN 8 WHEN unverified THEN 9 WHEN image THEN 10 ELSE 11 END AS c FROM p)
+SELECT k.page_id, ['unknown', 'native', 'scanned', 'unknown', 'broken_encoding', 'hidden_text_scan', 'unknown', 'unknown', 'unknown', 'mixed', 'native'][c] AS page_type, CASE c WHEN 2 THEN 'blank' WHEN 3 THEN 'image_only' WHEN 4 THEN 'image_only' ELSE 'native' END AS content_state,
+  concat_ws(',', ['NATIVE_EXTRACTION_FAILED', NULL, 'NO_NATIVE_TEXT', 'NO_NATIVE_TEXT', 'ABNORMAL_UNICODE', 'INVISIBLE_TEXT_WITH_IMAGE', 'INVISIBLE_TEXT_WITHOUT_IMAGE', 'WHITE_PAINT_VISIBILITY_REVIEW', 'UNVERIFIED_NATIVE_GEOMETRY', 'IMAGE_PURPOSE_UNCONFIRMED', NULL][c], CASE WHEN nested THEN 'NESTED_FORM_GEOMETRY_REVIEW' END, CASE WHEN runs <> different THEN 'DUPLICATE_NATIVE_RUNS' END) AS reason_codes,
+  least(CAST(1 AS DOUBLE), coalesce(union_area, 0) / 6400) AS image_coverage FROM k LEFT JOIN covered USING (page_id)"""
