@@ -79,8 +79,8 @@ class Facts:
         for batch in by_bytes(batches, "text", BLOCK):
             sets = [shingle_set(t, self.width) for t in batch.column("text").to_pylist()]
             marks = [signature(s) for s in sets]
-            # documents are dealt to the buckets too, by their signatures
-            yield self.rows(batch.column("key"), [len(s) for s in sets], marks, [int.from_bytes(x[:4], "little") % BUCKETS for x in marks], [None] * len(sets))
+            # documents are dealt to the buckets too; their places keep copies apart
+            yield self.rows(batch.column("key"), [len(s) for s in sets], marks, [(int.from_bytes(x[:4], "little") + i) % BUCKETS for i, x in enumerate(marks)], [None] * len(sets))
             values = np.sort(np.concatenate(sets) >> np.uint64(21))  # 43 bits: the bucket's 11 and 32 more
             if len(values):
                 cuts = np.searchsorted(values, np.arange(1, BUCKETS, dtype=np.uint64) << np.uint64(32))
