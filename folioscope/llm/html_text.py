@@ -304,6 +304,8 @@ class Writer:
 
     def article(self) -> str:
         parts = [self.tag(self.pick("h1", "h1", "h2"), 1, self.words(2, 10))] if self.some(0.85) else []
+        if parts and self.some(0.12):
+            parts = [self.tag("header", 1, parts[0])]
         for _ in range(int(self.rng.integers(1, 3 if self.some(0.5) else 25))):
             kind = self.rng.random()
             if kind < 0.8:
