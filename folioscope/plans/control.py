@@ -137,7 +137,7 @@ def agg_detection(spark: SparkSession, d: str) -> DataFrame:
     truth, found = boxes(spark, d), predicted(spark, d).where("box_id % 4 <> 0")
     same = box_ops.iou_edges(truth, found, "page_id", 0.5).where("a_box_id = b_box_id").select("page_id", "iou")
     scores = ev.detection(truth, found, same, "page_id")
-    return scores.select("page_id", "gt_count", "prediction_count", "tp", "fp", "fn", "precision", "recall", "iou_mean", "iou_median")
+    return scores.select("page_id", "gt_count", "prediction_count", "tp", "fp", "fn", "precision", "recall", F.round("iou_mean", 9).alias("iou_mean"), "iou_median")
 
 
 def join_order_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -273,7 +273,7 @@ SELECT source, e AS eligible_count, s AS scored_count, c AS correct_count, u AS
     "agg_durations": f"WITH {LEDGER} SELECT provider, variant, count(*) FILTER (WHERE status = 'COMPLETE') AS n, median(duration_ms) FILTER (WHERE status = 'COMPLETE') AS median_ms, min(duration_ms) FILTER (WHERE status = 'COMPLETE') AS min_ms, max(duration_ms) FILTER (WHERE status = 'COMPLETE') AS max_ms, count(*) FILTER (WHERE status <> 'COMPLETE') AS failed FROM ledger GROUP BY ALL",
     "agg_pairwise_agreement": f"WITH {LEDGER}, r AS (SELECT event_id // 14 AS run, event_id AS id, provider AS p, variant AS v, (event_id // 4) % 3 AS k FROM ledger), t AS (SELECT a.run, a.id AS a, b.id AS b, CASE WHEN a.p = b.p THEN CASE WHEN a.v = b.v THEN 'within_format_repeat' ELSE 'cross_format' END WHEN a.v = b.v AND a.k = b.k THEN 'inter_provider_agreement' END AS kind FROM r a JOIN r b ON a.run = b.run AND a.id < b.id) SELECT * FROM t WHERE kind IS NOT NULL",
     "agg_detection": f"""WITH {BOXES}, {PRED}, p AS (SELECT * FROM pred WHERE box_id % 4 <> 0), m AS (SELECT a.page_id, {PAIR_IOU} AS iou FROM boxes a JOIN p b ON a.page_id = b.page_id AND a.box_id = b.box_id WHERE {PAIR_IOU} >= 0.5),
-x AS (SELECT page_id, count(*) AS gt_count, count(*) FILTER (WHERE box_id % 4 <> 0) AS prediction_count FROM boxes GROUP BY page_id), y AS (SELECT page_id, count(*) AS tp, avg(iou) AS iou_mean, median(iou) AS iou_median FROM m GROUP BY page_id)
+x AS (SELECT page_id, count(*) AS gt_count, count(*) FILTER (WHERE box_id % 4 <> 0) AS prediction_count FROM boxes GROUP BY page_id), y AS (SELECT page_id, count(*) AS tp, round(avg(iou), 9) AS iou_mean, median(iou) AS iou_median FROM m GROUP BY page_id)
 SELECT page_id, gt_count, prediction_count, coalesce(tp, 0) AS tp, prediction_count - coalesce(tp, 0) AS fp, gt_count - coalesce(tp, 0) AS fn, CASE WHEN prediction_count > 0 THEN CAST(coalesce(tp, 0) AS DOUBLE) / prediction_count END AS precision, CAST(coalesce(tp, 0) AS DOUBLE) / gt_count AS recall, iou_mean, iou_median FROM x LEFT JOIN y USING (page_id)""",
     "ref_valid": f"""WITH {BOXES}, c AS (SELECT page_id, box_id - 1 AS r, CASE WHEN box_id % 4 = 0 THEN 2 ELSE 1 END AS w, unnest(CASE WHEN box_id % 4 = 0 THEN [0] ELSE [0, 1] END) AS k FROM boxes),
 h AS (SELECT *, CASE WHEN r % 6 = 5 AND k = 1 THEN 2 ELSE 1 END AS t FROM c), s AS (SELECT page_id, unnest(range(r, r + t)) AS r, k, w FROM h), u AS (SELECT page_id, r, unnest(range(k, k + w)) AS k FROM s)
