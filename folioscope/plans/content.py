@@ -162,8 +162,7 @@ def win_pairwise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def win_sliding_text(spark: SparkSession, d: str) -> DataFrame:
-    parts = F.slice(F.split("text", "\n"), 1, F.lit(6))
-    found = documents(spark, d).select("doc_id", parts.alias("parts")).select("doc_id", F.explode(seq.windows_of(F.col("parts"), 3)).alias("w"))
+    found = documents(spark, d).select("doc_id", F.split("text", "\n").alias("parts")).select("doc_id", F.explode(seq.windows_of(F.col("parts"), 3)).alias("w"))
     return found.select("doc_id", F.col("w.start").cast("long").alias("start"), F.col("w.n").cast("long").alias("n"), F.length("w.text").cast("long").alias("chars"))
 
 

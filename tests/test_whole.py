@@ -24,3 +24,8 @@ def whole(spark, duck, name: str, sql: str) -> list[tuple]:  # noqa: F811
 def test_row_spans_of_all_pages(spark, duck):  # noqa: F811
     found = whole(spark, duck, "con_spans", uncut("con_spans", "page_id < 300 AND "))
     assert max(r[1] for r in found) >= 300
+
+
+def test_windows_over_all_lines(spark, duck):  # noqa: F811
+    found = whole(spark, duck, "win_sliding_text", uncut("win_sliding_text", " WHERE ord <= 6"))
+    assert max(r[3] for r in found) >= 6
