@@ -138,19 +138,24 @@ def edit_counts(reference: str, actual: str) -> tuple[int, int, int]:
     """Substitutions, deletions and insertions of a least edit; of equal ones that which substitutes, then deletes, later."""
     a, b = (np.frombuffer(s.encode("utf-32-le"), "<u4") for s in (reference, actual))
     n, m = len(a), len(b)
-    cost = np.empty((n + 1, m + 1), np.int64)
-    cost[0] = np.arange(m + 1)
+    spots = np.arange(m + 1)
+    above = spots
+    # of each cell two bits are kept: whether a least edit may end in a pair of characters, or in a deletion
+    paired, deleted = (np.empty((n, (m + 7) // 8), np.uint8) for _ in range(2))
     for i in range(1, n + 1):
-        step = np.minimum(cost[i - 1, :-1] + (b != a[i - 1]), cost[i - 1, 1:] + 1)
+        pair = above[:-1] + (b != a[i - 1])
         # insertions run along the row: a running minimum of what is left after their cost
-        cost[i] = np.minimum.accumulate(np.concatenate([[i], step]) - np.arange(m + 1)) + np.arange(m + 1)
+        row = np.minimum.accumulate(np.concatenate([[i], np.minimum(pair, above[1:] + 1)]) - spots) + spots
+        paired[i - 1], deleted[i - 1] = np.packbits(row[1:] == pair), np.packbits(row[1:] == above[1:] + 1)
+        above = row
+    bit = lambda rows: rows[i - 1, (j - 1) // 8] >> (7 - (j - 1) % 8) & 1
     s = d = k = 0
     i, j = n, m
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+        if i and j and bit(paired):
             s += int(a[i - 1] != b[j - 1])
             i, j = i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+        elif i and (not j or bit(deleted)):
             d, i = d + 1, i - 1
         else:
             k, j = k + 1, j - 1

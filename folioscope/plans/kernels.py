@@ -38,15 +38,15 @@ def txt_abnormal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def txt_cer_sdi(spark: SparkSession, d: str) -> DataFrame:
-    short = runs(spark, d).where("ord <= 2").withColumn("text", F.substring("text", 1, 200))
-    a, b = (short.where(F.col("ord") == i).select("doc_id", F.col("text").alias(f"t{i}")) for i in (1, 2))
+    lines = runs(spark, d)
+    a, b = (lines.where(F.col("ord") == i).select("doc_id", F.col("text").alias(f"t{i}")) for i in (1, 2))
     return a.join(b, "doc_id").select("doc_id", k.edit_struct(F.col("t1"), F.col("t2")).alias("e")).select("doc_id", "e.substitutions", "e.deletions", "e.insertions", "e.distance")
 
 
 def txt_similarity(spark: SparkSession, d: str) -> DataFrame:
     own = turns(spark, d)
-    after = own.select("conv_id", (F.col("turn") - 1).alias("turn"), F.substring("text", 1, 300).alias("next"))
-    return own.join(after, ["conv_id", "turn"]).select("conv_id", "turn", k.similarity(F.substring("text", 1, 300), F.col("next")).alias("ratio"))
+    after = own.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return own.join(after, ["conv_id", "turn"]).select("conv_id", "turn", k.similarity(F.col("text"), F.col("next")).alias("ratio"))
 
 
 def prj_wire_shape(spark: SparkSession, d: str) -> DataFrame:
