@@ -58,7 +58,7 @@ def txt_cer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def txt_img_tag(spark: SparkSession, d: str) -> DataFrame:
-    tagged = runs(spark, d).where("ord <= 3").withColumn("text", F.concat_ws("", "text", F.lit("bbox_"), "ord", F.lit("_2_"), F.col("doc_id") % 50 + 10, F.lit("_40")))
+    tagged = runs(spark, d).withColumn("text", F.concat_ws("", "text", F.lit("bbox_"), "ord", F.lit("_2_"), F.col("doc_id") % 50 + 10, F.lit("_40")))
     found = F.regexp_extract_all("text", F.lit(r"bbox_([0-9]+_[0-9]+_[0-9]+_[0-9]+)"), F.lit(1))
     sides = F.split(F.col("box"), "_")
     return tagged.select("doc_id", "ord", F.explode(found).alias("box")).select("doc_id", "ord", *(F.get(sides, F.lit(i)).cast("long").alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))

@@ -69,7 +69,7 @@ def cls_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rev_apply(spark: SparkSession, d: str) -> DataFrame:
-    lines = runs(spark, d).where("ord <= 4").select(F.col("doc_id").alias("document_id"), "ord", F.concat(F.lit("b"), "ord").alias("id"), F.substring("text", 1, 60).alias("text"), F.lit("flow").alias("policy"))
+    lines = runs(spark, d).select(F.col("doc_id").alias("document_id"), "ord", F.concat(F.lit("b"), "ord").alias("id"), "text", F.lit("flow").alias("policy"))
     docs = lines.select("document_id").distinct()
     edit = lambda n, **op: docs.select("document_id", F.lit(n).alias("ord"), F.to_json(F.struct(*(F.lit(v).alias(c) for c, v in op.items()))).alias("operation"))
     edits = edit(1, action="text", block_id="b1", reason="typo", text="fixed").union(edit(2, action="merge", block_id="b1", reason="one line"))

@@ -75,3 +75,14 @@ def test_similarity_of_whole_turns(spark, tmp_path, pairs):
     d = written(spark, tmp_path, "conversations", turns, "conv_id long, turn long, text string")
     found = {r["conv_id"]: r["ratio"] for r in registry.queries()["txt_similarity"](spark, d).collect()}
     assert found == {i: SequenceMatcher(None, a, b).ratio() for i, (a, b) in enumerate(pairs)} and found[3] < 1
+
+
+def test_ledgers_of_whole_documents(spark, duck):  # noqa: F811
+    sql = uncut("rev_apply", "[1:4]").replace("substr(t, 1, 60) AS t", "t")
+    found = whole(spark, duck, "rev_apply", sql)
+    assert max(r[3] for r in found) > 4 and max(len(r[5]) for r in found) > 120
+
+
+def test_tags_in_all_lines(spark, duck):  # noqa: F811
+    found = whole(spark, duck, "txt_img_tag", uncut("txt_img_tag", " WHERE ord <= 3"))
+    assert max(r[1] for r in found) > 3
