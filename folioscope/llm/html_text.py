@@ -24,7 +24,7 @@ from .common import by_bytes
 BLOCK, TRAINING_PAGES = 4 << 20, 800
 
 # Elements by how they are read.
-RAW = "script style noscript template textarea title iframe svg math object xmp noembed noframes".split()
+RAW = "script style noscript template textarea title iframe svg object xmp noembed noframes".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = (
     "html body p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd div section article main nav header footer aside form fieldset table caption "
@@ -67,7 +67,7 @@ KIND_OF = {tag: i for i, tags in enumerate(KINDS.values()) for tag in tags.split
 WORD_OF = {w: i for i, ws in enumerate(WORDS.values()) for w in ws.split()}
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+(?<=/)>|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-z][^<>]*+\Z",
     re.I | re.S,
 )
