@@ -123,7 +123,7 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
     """Adds ``base`` and ``spans``: arrays of (start, kind, end) in characters, by start and then kind; ends are exclusive.
 
     Base spans are those of the kinds assign, access and hex; ``spans`` adds the long tokens that the models
-    hold for random and that no base span touches. Null texts count as empty and have none, as do empty ones. Rows are
+    hold for random and that no base span holds whole; they may overlap base spans. Null texts count as empty and have none, as do empty ones. Rows are
     judged one by one, whatever else they hold; the two columns take the place of any of the same name. Nothing is shuffled.
     """
     work = "text_to_scan"
@@ -132,8 +132,8 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
     df = matched(df, work, 1, ACCESS)
     df = matched(df, work, 2, HEX)
     df = df.withColumn("base", F.array_sort(F.concat("spans_0", "spans_1", "spans_2")))
-    free = lambda a, b: ~F.exists("base", lambda s: (s["start"] < b) & (s["end"] > a))
-    df = matched(df, work, 3, LONG, lambda m, a, b: (score(m, ratios) >= LEAST_RATIO) & free(a, b))
+    fresh = lambda a, b: ~F.exists("base", lambda s: (s["start"] <= a) & (s["end"] >= b))
+    df = matched(df, work, 3, LONG, lambda m, a, b: (score(m, ratios) >= LEAST_RATIO) & fresh(a, b))
     return df.withColumn("spans", F.array_sort(F.concat("base", "spans_3"))).drop(work, *(f"spans_{k}" for k in range(4)))
 
 
