@@ -41,13 +41,21 @@ def txt_block_kind(spark: SparkSession, d: str) -> DataFrame:
 
 
 def txt_presence(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items whose first words stand in a document: candidates meet on those words, so no cross join is needed."""
-    words = lambda c, n: F.slice(F.split(c, SPACE), 1, F.lit(n))
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), F.array_join(words(F.col("text"), 4), " ").alias("gram"))
+    """Benchmark items that stand in a document.
+
+    Only an item's inner words are whole words of the document, too: items of six words or more meet it on the four after
+    their first. Shorter ones are few and are sought in all documents.
+    """
+    words = F.split(F.col("text"), SPACE)
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), words.alias("parts"))
+    long = items.where(F.size("parts") >= 6).select("item_id", "item", F.array_join(F.slice("parts", 2, 4), " ").alias("gram"))
     follow = F.arrays_zip(*(F.slice("words", i, F.size("words")).alias(f"w{i}") for i in range(1, 5)))
     grams = F.transform(follow, lambda w: F.concat_ws(" ", w["w1"], w["w2"], w["w3"], w["w4"]))
-    docs = documents(spark, d).select("doc_id", "text", F.split("text", SPACE).alias("words")).select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("gram"))
-    return docs.join(items, "gram").where(F.contains("text", "item")).select("doc_id", "item_id").distinct()
+    docs = documents(spark, d).select("doc_id", "text", words.alias("words"))
+    met = docs.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("gram")).join(long, "gram").where(F.contains("text", "item"))
+    short = items.where(F.size("parts") < 6).select("item_id", "item")
+    sought = documents(spark, d).join(short, F.contains("text", "item"))
+    return met.select("doc_id", "item_id").union(sought.select("doc_id", "item_id")).distinct()
 
 
 def txt_cer(spark: SparkSession, d: str) -> DataFrame:

@@ -86,3 +86,12 @@ def test_ledgers_of_whole_documents(spark, duck):  # noqa: F811
 def test_tags_in_all_lines(spark, duck):  # noqa: F811
     found = whole(spark, duck, "txt_img_tag", uncut("txt_img_tag", " WHERE ord <= 3"))
     assert max(r[1] for r in found) > 3
+
+
+def test_items_of_any_words_are_found(spark, tmp_path):
+    docs = [(1, "so (a b c d e f g) it is"), (2, "a b\nc d e f g"), (3, "say «kurz und gut»."), (4, "one two three four. Five six, seven"), (5, "")]
+    items = [(1, "a b c d e f g"), (2, "kurz und gut"), (3, "gut"), (4, "two three four. Five six"), (5, "one two three four"), (6, "ne two three four. Five si"), (7, "b c d e"), (8, "not here at all, not once")]
+    d = written(spark, tmp_path, "documents", docs, "doc_id long, text string")
+    written(spark, tmp_path, "benchmark", items, "item_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"]) for r in registry.queries()["txt_presence"](spark, d).collect())
+    assert found == sorted((k, i) for k, text in docs for i, item in items if item in text)
