@@ -73,6 +73,12 @@ def rule(spec: dict) -> Rule | None:
     return None
 
 
+def added_marks(spec: dict) -> set[str] | None:
+    """Signs of which a text holds one wherever it names an added token, in any case; None if a token has no such signs."""
+    marks = {re.match(r"[!-/:-@\[-`{-~]*", t["content"])[0] for t in spec.get("added_tokens") or ()}
+    return None if "" in marks else marks
+
+
 class Uneven(Exception):
     """White space other than single spaces and line ends."""
 
@@ -90,19 +96,21 @@ class Chunks(dict):
 
 
 class Encoder:
-    """Encodes texts to ids as little-endian 32-bit integers; texts that name special tokens are ordinary text.
+    """Encodes texts to the library's ids, as little-endian 32-bit integers; special tokens in a text are theirs.
 
     The library's model encodes each distinct piece once; chunks and pieces are then looked up. Texts and chunks that the
-    rule doesn't cover go through the whole tokenizer.
+    rule doesn't cover go through the whole tokenizer, as do texts that may name a token which was added to the model.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.rule = rule(json.loads(spec))
+        self.added = added_marks(json.loads(spec))
+        if self.added is None:
+            self.rule = None
         self.letters = byte_letters()
         self.small = Chunks(self.piece)
         self.known, self.before = Chunks(self.chunk), {}
@@ -175,7 +183,7 @@ class Encoder:
             return self.whole(texts)
         out: list[bytes] = []
         for text in texts:
-            if SEPARATORS.search(text):
+            if SEPARATORS.search(text) or any(mark in text for mark in self.added):
                 out += self.whole([text])
                 continue
             out.append(self.text(text))

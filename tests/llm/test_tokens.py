@@ -26,11 +26,21 @@ def encoders():
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40) | st.text(" \n\tab'sé.1\x1c", max_size=30), max_size=5))
 def test_chunks_give_the_ids_of_whole_texts(encoders, texts):
     for own, library in encoders.values():
-        library.encode_special_tokens = True
         expected = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         assert own.encode(texts) == expected
 
 
+NAMES = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|", " <|endoftext|> ", "|>"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(NAMES | st.text(" ab.é\n'1", max_size=6), max_size=6).map("".join), max_size=4))
+def test_special_tokens_are_the_library_s(encoders, texts):
+    for own, library in encoders.values():
+        assert own.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert np.frombuffer(encoders[FILES[1]][0].encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def test_token_files(spark, docs, corpus, encoders, tmp_path):
     uri = f"file://{tmp_path}/out"
     (tmp_path / "out").mkdir()
@@ -73,11 +83,10 @@ def test_automaton_is_greedy_longest_match(tokens, word):
 def test_token_counts(docs, corpus, nothing):
     tokens = set(token_counts.vocabulary_bytes(spec_of(vocabulary(FILES[1]))))
     found = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in token_counts.count_tokens(docs, vocabulary(FILES[1])).collect()}
-    short = {w: naive(tokens, b" " + w.encode()) for _, t in corpus for w in (t or "").split() if len(w) < 50}
+    known = {w: naive(tokens, b" " + w.encode()) for _, t in corpus for w in (t or "").split()}
     for k, text in corpus:
         words = (text or "").split()
-        if all(w in short for w in words):
-            assert found[k] == (len(words), sum(short[w] for w in words))
+        assert found[k] == (len(words), sum(known[w] for w in words))
     assert token_counts.count_tokens(nothing, vocabulary(FILES[1])).count() == 0
 
 
