@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, filesystem, new_dir
 from .fm_index import FMIndex
 
 #: Bytes of text in a shard.
 SHARD = 6 << 20
 
-#: Bytes of benchmark text that the executors get at a time; a larger benchmark goes in blocks.
+#: Bytes of benchmark text in a block, on average; a task holds one block at a time.
 BLOCK = 16 << 20
 
 #: A word is a run of digits, letters a-z and bytes above 127 after A-Z are lowered; all other bytes are spaces.
@@ -34,7 +37,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Phrases:
     """The distinct windows of the benchmark's items as rows of word numbers, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.ids: dict[bytes, int] = {}
         seen: dict[tuple[int, ...], set[int]] = {}
         self.names = [name for name, _ in items]
@@ -139,55 +142,76 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     words of an item, or all words of a shorter item. Returns a row per document: the key, the columns
     named in ``keep``, n_words, spans (word numbers, end exclusive; adjoining hits are one span) and items (their ids
     as strings, in order). Null and empty
-    texts have no words, spans or items; items without words never occur; an empty benchmark finds nothing; repeated
-    rows are judged each; items that repeat an id count once. No row moves: the benchmark comes to the documents in blocks of bounded size, and each block passes
-    over the documents' rows in turn, adding to their spans.
+    texts have no words, spans or items; items without words never occur; the words of items without an id are found, but name no
+    item; an empty benchmark finds nothing; repeated rows are judged each; items that repeat an id count once. No row moves:
+    the benchmark's distinct items are written to the shared folder in blocks of bounded size, and a task reads one block after another for each
+    of its shards. Nothing of the benchmark reaches the driver.
     """
-    held = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    spark = docs.sparkSession
+    held = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null").distinct()
     total = held.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).cast("long")).first()[0]
     blocks = max(1, -(-total // BLOCK))
+    uri = f"{new_dir(spark, 'benchmark')}/items"
+    held.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))).repartition(int(min(blocks, 4096)), "block").write.partitionBy("block").parquet(uri)
     extra = {f"keep_{i}": c for i, c in enumerate(keep)}
-    spans = "array<struct<start: long, end: long>>"
-    out = docs.select(F.col(text).alias("text"), F.col(key).alias("key"), *(F.col(c).alias(n) for n, c in extra.items()), F.expr(f"cast(array() as {spans})").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in out.schema if f.name not in ("text", "spans", "items")]
-    for k in range(blocks):
-        own = held if blocks == 1 else held.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        rows = [(r["item"], r["text"]) for r in own.collect()]
-        last = k == blocks - 1
-        schema = ", ".join([*["text string"] * (not last), *kinds, f"spans {spans}", "items array<string>", *["n_words long"] * last])
-        out = out.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast((rows, window)), last), schema)
+    own = docs.select(F.col(text).alias("text"), F.col(key).alias("key"), *(F.col(c).alias(n) for n, c in extra.items()))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name != "text"]
+    schema = ", ".join([*kinds, "spans array<struct<start: long, end: long>>", "items array<string>", "n_words long"])
+    out = own.mapInArrow(_matcher(uri, window), schema)
     return out.select(F.col("key").alias(key), *(F.col(n).alias(c) for n, c in extra.items()), "n_words", "spans", "items")
 
 
-def _matcher(held, last: bool):
+@lru_cache(maxsize=1)
+def _phrases(uri: str, window: int) -> Phrases:
+    """The phrases of one block of the benchmark; a worker keeps the last one."""
+    fs, path = filesystem(uri)
+    files = [f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".parquet")]
+    rows = [r for f in files for r in pq.ParquetFile(fs.open_input_file(f)).read(["item", "text"]).to_pylist()]
+    return Phrases([(r["item"], r["text"]) for r in rows], window)
+
+
+def _matcher(uri: str, window: int):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(*held.value)
+        fs, path = filesystem(uri)
+        blocks = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(path)) if f.base_name.startswith("block="))
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in by_bytes(batches, "text", SHARD):
-            shard = Shard(batch.column("text").to_pylist(), phrases)
-            hit, pairs = shard.matches(phrases)
-            spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            at = np.flatnonzero(hit)
-            docs, firsts = np.unique(shard.doc[at], return_index=True)
-            for d, places in zip(docs, np.split(shard.place[at], firsts[1:]) if len(at) else [], strict=True):
-                own = word_spans(places)
-                if spans[d]:
-                    old = np.concatenate([np.arange(x["start"], x["end"]) for x in spans[d]])
-                    own = word_spans(np.union1d(old, places))
-                spans[d] = [{"start": a, "end": b} for a, b in own]
-            for d, k in pairs.tolist():
-                items[d] = items[d] + [phrases.names[k]]
-            names = [sorted(set(x)) for x in items]
+            texts = batch.column("text").to_pylist()
+            hits: list[tuple[np.ndarray, np.ndarray]] = []
+            items: list[set[str]] = [set() for _ in texts]
+            counts = None
+            for block in blocks:
+                phrases = _phrases(f"{uri}/{block}", window)
+                shard = Shard(texts, phrases)
+                counts = shard.counts
+                hit, pairs = shard.matches(phrases)
+                hits.append((shard.doc[hit], shard.place[hit]))
+                for d, k in pairs.tolist():
+                    if phrases.names[k] is not None:
+                        items[d].add(phrases.names[k])
+            if counts is None:
+                counts = np.array([len(words_of(t)) for t in texts], np.int64)
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            columns |= {"spans": pa.array(spans, spans_type), "items": pa.array(names, pa.list_(pa.string()))}
-            if last:
-                columns["n_words"] = pa.array(shard.counts)
-                del columns["text"]
+            del columns["text"]
+            columns |= {"spans": pa.array(_merged(hits, len(texts)), spans_type), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())), "n_words": pa.array(counts)}
             yield pa.RecordBatch.from_pydict(columns)
 
     return match
 
 
+def _merged(hits: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[list[dict]]:
+    """The spans of each of n documents from the hit words that the blocks found: documents and word numbers."""
+    spans: list[list[dict]] = [[] for _ in range(n)]
+    if hits:
+        doc, place = (np.concatenate([h[i] for h in hits]) for i in range(2))
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order]
+        owners, firsts = np.unique(doc, return_index=True)
+        for d, own in zip(owners, np.split(place, firsts[1:]), strict=False):
+            spans[d] = [{"start": a, "end": b} for a, b in word_spans(np.unique(own))]
+    return spans
+
+
 def judged(found: DataFrame) -> DataFrame:
     """Adds n_hit, n_items, items_sha256 and contaminated: hit words make at least a twentieth of all."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])

@@ -36,6 +36,9 @@ def test_contamination(spark, docs, corpus, nothing, monkeypatch):
     expected = sorted(contamination(corpus, items))
     asked = lambda: sorted(tuple(r) for r in decontamination.judged(decontamination.find_contamination(docs, table)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
     assert asked() == expected and sum(r[5] for r in expected) >= 2
+    unnamed = spark.createDataFrame([*items[1:], (None, items[0][1]), (None, "Word")], "item_id long, text string")
+    found = decontamination.judged(decontamination.find_contamination(docs, unnamed)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert sorted(map(tuple, found)) == expected_of(corpus, items)
     monkeypatch.setattr(decontamination, "BLOCK", 60)
     monkeypatch.setattr(decontamination, "SHARD", 500)
     assert asked() == expected
@@ -46,6 +49,11 @@ def test_contamination(spark, docs, corpus, nothing, monkeypatch):
     assert decontamination.cut_spans("One, two; three four.", [(1, 3)]) == "One,  four."
 
 
+def expected_of(corpus, items):
+    """Item 10 repeats item 1's text, and the unnamed items repeat those of 1 and 2: only item 1 is not named any more."""
+    return sorted(contamination(corpus, items[1:]))
+
+
 def test_language(spark, nothing):
     rng = random.Random(1)
     words = {"en": "the of and house river", "fr": "le de et maison rivière", "de": "der und das Haus Fluß"}
