@@ -1,13 +1,12 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-A text's bytes are read in consecutive windows. In each window one network reads forwards and one backwards, and their
-two states at a byte give the probability of each language at that byte; a document's probabilities are the means
-over all its bytes.
+One network reads forwards and one backwards, and their two states at a byte give the probability of each language at
+that byte; a document's probabilities are the means over all its bytes. Long texts are read in parts, side by side; before its
+part each network reads the bytes that lead up to it, so that no byte but a text's first and last is judged without context.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,22 +17,17 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes
 
-#: Bytes a window; the network starts anew in each.
-WINDOW = 128
+#: Bytes that a network reads in a row, in training and afterwards, and how many of them only lead up to a part.
+WINDOW, LEAD = 256, 32
 
-#: Windows read at a time: their states stay in the processor's cache.
-BATCH = 2048
+#: Parts read at a time, divided by the number of languages: their states stay in the processor's cache.
+BATCH = 8192
 
 #: Bytes of text held at a time.
 BLOCK = 4 << 20
 
-#: At most so many documents of each language, and of languages, and windows of a document, are learned from.
-SAMPLE_DOCS, SAMPLE_LANGS, SAMPLE_WINDOWS = 256, 64, 6
-
-#: Bytes of a training document that reach the driver.
-SAMPLE_BYTES = 8192
-
-LETTER = re.compile(r"[^\W\d_]")
+#: The sample that is learned from: documents of a language and of all, the least of a language, and windows of a document.
+SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_LEAST, SAMPLE_WINDOWS = 256, 16_384, 8, 6
 
 
 @dataclass
@@ -125,14 +119,13 @@ class Network:
         self.forward, self.backward = (Direction.new(rng, hidden, len(names)) for _ in range(2))
         self.bias = np.zeros(len(names), np.float32)
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, rng: np.random.Generator, steps: int = 600, batch: int = 192, rate: float = 0.01) -> None:
-        """Adam on the cross entropy of the language at each byte of half windows; windows: full ones, a row each."""
+    def train(self, windows: np.ndarray, labels: np.ndarray, rng: np.random.Generator, steps: int = 300, batch: int = 192, rate: float = 0.012) -> None:
+        """Adam on the cross entropy of the language at each byte of whole windows, a row each."""
         own = [*self.forward.arrays(), *self.backward.arrays(), self.bias]
         first, second = [np.zeros_like(a) for a in own], [np.zeros_like(a) for a in own]
         for step in range(1, steps + 1):
             pick = rng.integers(0, len(windows), batch)
-            half = int(rng.integers(0, 2)) * (windows.shape[1] // 2)
-            ahead = np.ascontiguousarray(windows[pick, half : half + windows.shape[1] // 2].T)
+            ahead = np.ascontiguousarray(windows[pick].T)
             back = ahead[::-1]
             hf, kf = self.forward.states(ahead)
             hb, kb = self.backward.states(back)
@@ -156,64 +149,73 @@ class Network:
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """The mean over all bytes of each text of the languages' probabilities; zeros for an empty text."""
         sizes = np.array([len(t) for t in texts], np.int64)
-        per = -(-sizes // WINDOW)
+        step = WINDOW - LEAD
+        per = -(-sizes // step)
         owner = np.repeat(np.arange(len(texts)), per)
         ends = np.cumsum(sizes)
-        k = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-        start = (ends - sizes)[owner] + k * WINDOW
-        length = np.minimum(ends[owner] - start, WINDOW)
+        first, past = (ends - sizes)[owner], ends[owner]
+        start = first + (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * step
+        length = np.minimum(past - start, step)
+        lead = np.minimum(start - first, LEAD)  # bytes read before the part, and after it by the other network
+        tail = np.minimum(past - start - length, LEAD)
         buffer = np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8)
         total = np.zeros((len(texts), len(self.names)), np.float64)
         order = np.argsort(-length, kind="stable")
         steps = np.arange(WINDOW)[:, None]
-        for i in range(0, len(order), BATCH):
-            own = order[i : i + BATCH]
-            n, at = length[own], start[own]
-            most = int(n[0])
-            ahead = buffer[at + steps[:most]]
-            turn = np.maximum(n - 1 - steps[:most], 0)
-            back = buffer[at + turn]
-            scores = self.forward.scores(ahead) + self.bias
-            behind = self.backward.scores(back)
-            scores += behind[::-1] if n[-1] == most else np.take_along_axis(behind, turn[:, :, None], axis=0)
+        batch = max(16, BATCH // max(4, len(self.names)))
+        for i in range(0, len(order), batch):
+            own = order[i : i + batch]
+            at, n, before, after = start[own], length[own], lead[own], tail[own]
+            most = int(n.max())
+            far, back = int((n + before).max()), int((n + after).max())
+            ahead = self.forward.scores(buffer[at - before + steps[:far]])
+            behind = self.backward.scores(buffer[np.maximum(at + n + after - 1 - steps[:back], 0)])
+            # the networks' places of each byte of the part
+            there, here = np.minimum(before + steps[:most], far - 1), np.maximum(n + after - 1 - steps[:most], 0)
+            scores = np.take_along_axis(ahead, there[:, :, None], axis=0)
+            scores += np.take_along_axis(behind, here[:, :, None], axis=0)
+            scores += self.bias
             np.exp(scores - scores.max(axis=2, keepdims=True), out=scores)
             scores /= scores.sum(axis=2, keepdims=True)
-            if n[-1] < most:
+            if n.min() < most:
                 scores *= (steps[:most] < n)[:, :, None]
             np.add.at(total, owner[own], scores.sum(axis=0))
         return total / np.maximum(sizes, 1)[:, None]
 
 
 def training_windows(rows: list[tuple[bytes, str]], names: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Windows at random places of the texts, repeated to fill where a text is shorter, and their languages."""
+    """Windows of one size and their languages: a piece may lose up to three of its first bytes, as parts of texts do, and repeats where it is short."""
     windows, labels = [], []
-    for text, lang in rows:
-        if not text:
-            continue
-        for _ in range(min(SAMPLE_WINDOWS, 1 + len(text) // WINDOW)):
-            at = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
-            own = text[at : at + WINDOW]
-            windows.append(np.resize(np.frombuffer(own, np.uint8), WINDOW))
-            labels.append(names.index(lang))
+    for piece, lang in rows:
+        cut = int(rng.integers(0, min(3, max(0, len(piece) - WINDOW)) + 1))
+        windows.append(np.resize(np.frombuffer(piece[cut : cut + WINDOW], np.uint8), WINDOW))
+        labels.append(names.index(lang))
     return np.array(windows, np.uint8).reshape(-1, WINDOW), np.array(labels, np.int64)
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", hidden: int = 12, seed: int = 7) -> Network | None:
     """Trains on a bounded sample of the labelled rows: those of each language with the least hashes of their keys.
 
-    The bounds are SAMPLE_DOCS, SAMPLE_LANGS and SAMPLE_BYTES; None without any labelled text that has a letter.
+    Each language gives SAMPLE_DOCS documents, fewer if all would give over SAMPLE_TOTAL, but SAMPLE_LEAST at least; all that are there
+    if it has fewer. Of each document up to SAMPLE_WINDOWS pieces from anywhere in its whole text reach the driver. Every
+    language that labels a text with a letter is learned. Null keys, texts and languages are left out; None without any labelled text that has a letter.
     """
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null and key is not null")
-    counts = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).collect()
-    if not counts:
+    counts = own.groupBy("lang").agg(F.count("*").alias("n"))
+    kinds = counts.count()
+    if not kinds:
         return None
+    most = max(SAMPLE_LEAST, min(SAMPLE_DOCS, SAMPLE_TOTAL // kinds))
     # a few times the share that is wanted, by hash, of which the least are taken
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 3 * SAMPLE_DOCS / r["n"]))) for r in counts))
     spot = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("language sample")), F.lit(1 << 30))
-    near = own.withColumn("spot", spot).where(F.col("spot") < share * (1 << 30)).where(F.col("text").rlike(r"\p{L}"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "key"))
-    least = near.select("lang", "spot", "key", F.substring("text", 1, SAMPLE_BYTES).alias("text")).withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS)
-    rows = [(r["text"].encode(), r["lang"]) for r in sorted(least.collect(), key=lambda r: (r["lang"], r["place"]))]
+    near = own.join(counts, "lang").withColumn("spot", spot).where(F.col("spot") * F.col("n") < F.lit(3.0 * most * (1 << 30))).where(F.col("text").rlike(r"\p{L}"))
+    # pieces from anywhere in the text, chosen by hash
+    pieces = F.least(F.lit(SAMPLE_WINDOWS), F.floor(F.length("text") / WINDOW) + 1).cast("int")
+    spots = F.transform(F.sequence(F.lit(1), pieces), lambda i: F.pmod(F.xxhash64("key", i), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))))
+    cut = near.select("lang", "spot", "key", F.transform(spots, lambda p: F.encode(F.substring("text", (p + 1).cast("int"), F.lit(WINDOW)), "UTF-8")).alias("pieces"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "key", "pieces"))
+    least = cut.withColumn("place", place).where(F.col("place") <= most)
+    rows = [(bytes(piece), r["lang"]) for r in sorted(least.collect(), key=lambda r: (r["lang"], r["place"])) for piece in r["pieces"]]
     names = sorted({lang for _, lang in rows})
     if not names:
         return None
@@ -243,7 +245,7 @@ def identify(docs: DataFrame, network: Network | None, key: str = "doc_id", text
         network = held.value
         for batch in by_bytes(batches, "text", BLOCK):
             texts = batch.column("text").to_pylist()
-            asked = [i for i, t in enumerate(texts) if network and t and LETTER.search(t)]
+            asked = [i for i, t in enumerate(texts) if network and t and any(map(str.isalpha, t))]
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
             if asked:
                 p = network.pooled([texts[i].encode() for i in asked])

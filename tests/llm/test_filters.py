@@ -58,19 +58,51 @@ def test_language(spark, nothing):
     rng = random.Random(1)
     words = {"en": "the of and house river", "fr": "le de et maison rivière", "de": "der und das Haus Fluß"}
     rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(rng.randint(3, 60))), lang) for i in range(240) for lang in [("en", "fr", "de")[i % 3]]]
-    rows += [(900, None, "en"), (901, "", "en"), (902, "12 34!", "fr"), (903, "the house", None), (None, "the river", "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rows += [(900, None, "en"), (901, "", "en"), (902, "12 34!", "fr"), (903, "the house", None), (None, "the river", "en"), (904, "½ ² ① Ⅳ", "en")]
+    docs = spark.createDataFrame([(*r, 1, "k", 0.5) for r in rows], "doc_id long, text string, lang string, spot long, key string, score double")
     network = language.learn(docs.where(~language.held_out()), hidden=6)
     found = {r["doc_id"]: r for r in language.identify(docs, network, keep=("lang",)).withColumn("held", language.held_out()).collect()}
     held = [r for r in found.values() if r["held"] and r["lang"] and r["lang_pred"] != "und"]
     assert len(held) > 40 and sum(r["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held)
-    assert all(found[k]["lang_pred"] == "und" and found[k]["score"] == 0 for k in (900, 901, 902))
+    assert all(found[k]["lang_pred"] == "und" and found[k]["score"] == 0 for k in (900, 901, 902, 904))
     assert found[903]["lang_pred"] == "en" and all(0 <= r["score"] <= 1 for r in found.values())
     assert language.learn(nothing) is None
     assert {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
     assert language.identify(nothing, network).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    words = "aa bb cc dd ee ff gg hh".split()
+    rows = [(i, f"{words[i % 8]}{words[i // 8 % 9 % 8]} " * 30, f"l{i % 72:02}") for i in range(720)]
+    network = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), hidden=4)
+    assert network.names == sorted({r[2] for r in rows})
+
+
+def slow_pooled(network, text):
+    """The mean probabilities of one text, byte by byte, from the networks' plain states of each part with what leads up to it."""
+    step, total = language.WINDOW - language.LEAD, 0
+    for a in range(0, len(text), step):
+        b = min(a + step, len(text))
+        low, high = max(0, a - language.LEAD), min(len(text), b + language.LEAD)
+        ahead = np.frombuffer(text[low:b], np.uint8)[:, None]
+        back = np.frombuffer(text[a:high], np.uint8)[::-1][:, None]
+        f = network.forward.states(ahead)[0][:, 0] @ network.forward.output
+        g = (network.backward.states(back)[0][:, 0] @ network.backward.output)[::-1]
+        scores = np.exp(f[a - low :] + g[: b - a] + network.bias)
+        total = total + (scores / scores.sum(axis=1, keepdims=True)).sum(axis=0)
+    return total / len(text)
+
+
+def test_fast_reading_gives_the_states_probabilities():
+    rng = np.random.default_rng(8)
+    network = language.Network(["a", "b", "c"], 5, rng)
+    network.bias[:] = rng.normal(size=3)
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (1, 2, 31, 32, 33, 223, 224, 225, 255, 256, 257, 448, 449, 1000, 3001)]
+    found = network.pooled(texts)
+    assert np.allclose(found, [slow_pooled(network, t) for t in texts], atol=1e-5)
+    assert np.allclose(network.pooled(texts[::-1])[::-1], found, atol=1e-6) and network.pooled([b""]).tolist() == [[0, 0, 0]]
+
+
 def test_window_gradients():
     rng = np.random.default_rng(0)
     own = language.Direction.new(rng, 3, 2)
