@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 from brute import contamination, secrets as slow_secrets
@@ -133,10 +134,62 @@ def test_secrets(spark, docs, corpus, nothing):
     assert cleaned[3] == "[SECRET] river-stone-house-light-model-data" and cleaned[1] == "[SECRET] " * 300 and cleaned[2].startswith("𝒳 [SECRET]' 😀 [SECRET]")
     assert secrets.scan(nothing, ratios).count() == 0
     assert set(secrets.train(docs.selectExpr("key as token", "cast(null as boolean) as random"))) == {0.0}
+    named = docs.limit(5).selectExpr("*", "'keep' as found_0", "'keep' as found", "'keep' as spans_3", "'keep' as TEXT_to_scan")
+    assert {tuple(r) for r in secrets.scan(named, ratios).select("found_0", "found", "spans_3", "TEXT_to_scan").collect()} == {("keep",) * 4}
     plan = secrets.scan(docs, ratios)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def random_models(spark):
+    """Models that hold tokens of digits for random."""
+    rows = [("0123456789" * 3, True), ("abcdefghij" * 3, False)]
+    return secrets.train(spark.createDataFrame(rows, "token string, random boolean"))
+
+
+def test_scores_are_those_of_the_transitions(spark):
+    ratios = random_models(spark)
+    n = len(secrets.ALPHABET) + 1
+    spot = lambda c: secrets.ALPHABET.find(c) + 1
+    tokens = ["a1b2", "0123456789abcdefABC+/_=-", "9", "é1", "x" * 300]
+    slow = {t: sum(float(f"{ratios[(spot(t[i - 1]) if i else 0) * n + spot(c)]:.6g}") for i, c in enumerate(t)) / len(t) for t in tokens}
+    found = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.score(F.col("t"), ratios).alias("s")).collect()
+    assert all(abs(slow[r["t"]] - r["s"]) < 1e-9 for r in found) and len(found) == len(tokens)
+
+
+def test_redaction(spark):
+    rng = random.Random(3)
+    signs = "aé𝒳\ufeff\ufffe \n"
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 40)))
+        spans = sorted((a := rng.randint(0, len(text)), 0, rng.randint(a, len(text))) for _ in range(rng.randint(0, 6)))
+        rows.append((i, text, spans))
+    table = spark.createDataFrame(rows, "i int, text string, spans array<struct<start: int, kind: int, end: int>>")
+    for r in table.withColumn("out", secrets.redact(F.col("text"), F.col("spans"), "#")).collect():
+        at, out = 0, ""
+        for a, _, b in r["spans"]:
+            if a >= at:
+                out += r["text"][at:a] + "#"
+            at = max(at, b)
+        assert r["out"] == out + r["text"][at:]
+
+
+def test_time_grows_with_the_text(spark):
+    """Eight times the token or the secrets take far less than the 64 times of quadratic work."""
+    ratios = random_models(spark)
+
+    def took(text: str) -> float:
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        found = secrets.scan(df, ratios).select(F.length(secrets.redact(F.col("text"), F.col("spans"))).alias("n"), F.size("spans"))
+        began = time.perf_counter()
+        found.collect()
+        return time.perf_counter() - began
+
+    for piece in ("0123456789", "é token=abcdef "):
+        took(piece * 20)
+        assert took(piece * 40_000) < 24 * max(took(piece * 5000), 0.25)
+
+
 def test_html(spark):
     model = html_text.train()
     rng = np.random.default_rng(77)
