@@ -11,6 +11,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from .boosting import Boosted
 from .common import by_bytes
 
 #: Bytes of pages held at a time, and generated pages that the trees are trained on.
-BLOCK, TRAINING_PAGES = 4 << 20, 800
+BLOCK, TRAINING_PAGES = 4 << 20, 1000
 
 # Elements by how they are read.
 RAW = "script style noscript template textarea title iframe svg object xmp noembed noframes".split()
@@ -46,6 +47,7 @@ KINDS = {
     "table": "table caption thead tbody tfoot tr td th",
     "figure": "figure figcaption",
     "top": "html body head",
+    "stray": "#text",
 }
 # Words in class, id and role that tell what a box is for.
 WORDS = {
@@ -61,16 +63,21 @@ WORDS = {
     "content": "content article post entry main story text body page single hentry articlebody prose",
 }
 BLOCK_SET = set(BLOCKS)
+STRAY = "#text"
 CLOSES_P = BLOCK_SET - {"option", "label", "button", "select", "summary"}
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 KIND_OF = {tag: i for i, tags in enumerate(KINDS.values()) for tag in tags.split()}
 WORD_OF = {w: i for i, ws in enumerate(WORDS.values()) for w in ws.split()}
 
+#: What isn't text: comments, tags, and a tag that the page's end cuts. A tag that doesn't end, as a quote in it stays open, is ``torn``.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+(?<=/)>|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-z][^<>]*+\Z",
+    r"<!--(?P<note>.*?)(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|(?P<torn><(?=/?[a-z]))|<[!?/][^>]*+(?:>|\Z)",
     re.I | re.S,
 )
+#: The same from the first torn tag on, where quotes mean nothing.
+UNQUOTED = re.compile(r"<!--(?P<note>.*?)(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>[^>]*+)>|<[!?/][^>]*+(?:>|\Z)", re.I | re.S)
+CUT = re.compile(r"<[a-z][^<>]*+\Z", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 LABEL = re.compile(r"data-label=.?(\d)")
@@ -79,10 +86,14 @@ SPACE = re.compile(r"\s+")
 
 @dataclass
 class Page:
-    """Block nodes in page order, node 0 being the page itself, and its stretches of text with their owners."""
+    """Block nodes in page order, node 0 being the page itself, and its stretches of text with their owners.
+
+    A stretch of text that lies in no block element has a node of its own, so that it is judged like any other.
+    """
 
     tags: list[str] = field(default_factory=lambda: ["body"])
     parents: list[int] = field(default_factory=lambda: [-1])
+    depths: list[int] = field(default_factory=lambda: [0])
     words: list[int] = field(default_factory=lambda: [0])
     labels: list[int] = field(default_factory=lambda: [1])
     owners: list[int] = field(default_factory=list)
@@ -101,22 +112,81 @@ def word_flags(attrs: str) -> int:
     return flags
 
 
+def tokens(source: str) -> Iterator[tuple[int, int, re.Match]]:
+    """Comments and tags with where they begin and end; raw elements end with their end tags, or with the page."""
+    last = source.rfind(">") + 1  # no tag ends after it
+    pattern, at = TOKEN, 0
+    while True:
+        for m in pattern.finditer(source, at, last):
+            at = m.end()
+            if pattern is TOKEN and m["torn"]:
+                pattern, at = UNQUOTED, m.start()
+                break
+            tag = (m["tag"] or "").lower()
+            if tag in RAW_END and not m["end"] and not (tag == "svg" and m["attrs"].endswith("/")):
+                end = RAW_END[tag].search(source, at)
+                at = end.end() if end else len(source)
+                yield m.start(), at, m
+                break
+            yield m.start(), at, m
+        else:
+            return
+
+
+class Stack:
+    """Open elements, the node that each lies in, and where the last one of each name stands; node 0 is the page."""
+
+    def __init__(self):
+        self.open: list[tuple[str, int]] = [("", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK_SET:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, node))
+
+    def last(self, tags) -> int:
+        """The place of the last open element of these names, 0 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, k: int) -> bool:
+        """Closes the element at a place and all in it; whether a block is among them."""
+        block = self.blocks[-1] >= k
+        while len(self.open) > k:
+            tag, _ = self.open.pop()
+            self.places[tag].pop()
+        while self.blocks[-1] >= k:
+            self.blocks.pop()
+        return block
+
+
 def parse(source: str) -> Page:
     """Reads a page forgivingly: unknown, unclosed and misplaced tags are mended as browsers do, comments and raw elements go.
 
     Text between two block boundaries is one stretch, whatever inline elements it runs through; ``br`` counts as white space.
+    The time is in proportion to the page's size, however its elements nest.
     """
     page = Page()
-    stack: list[tuple[str, int]] = [("", 0)]  # open elements and the node that they lie in
+    stack = Stack()
     pieces: list[str] = []
-    links = tags = 0
+    links = tags = stray = 0
+
+    def node(tag: str, words: int, label: int) -> int:
+        page.tags.append(tag)
+        page.parents.append(stack.open[-1][1] if tag != STRAY else 0)
+        page.depths.append(page.depths[page.parents[-1]] + 1)
+        page.words.append(words)
+        page.labels.append(label)
+        return len(page.tags) - 1
 
     def flush() -> None:
         nonlocal links, tags
         if pieces:
             text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                page.owners.append(stack[-1][1])
+                page.owners.append(stack.open[-1][1] or node(STRAY, 0, stray))
                 page.texts.append(text)
                 page.linked.append(min(links, len(text)))
                 page.inline.append(tags)
@@ -124,30 +194,32 @@ def parse(source: str) -> Page:
         links = tags = 0
 
     def close(k: int) -> None:
-        if any(t in BLOCK_SET for t, _ in stack[k:]):
+        if stack.blocks[-1] >= k:
             flush()
-        del stack[k:]
+        stack.close(k)
 
     at = in_link = 0
-    for m in TOKEN.finditer(source):
-        if m.start() > at:
-            piece = source[at : m.start()]
+    for start, end, m in tokens(source):
+        if start > at:
+            piece = source[at:start]
             pieces.append(piece)
             if in_link:
                 links += len(piece)
-        at = m.end()
+        at = end
         if not (tag := m["tag"]):
+            if (m["note"] or "").startswith("stray-label="):  # of generated pages
+                flush()
+                stray = int(m["note"][-1])
             continue
         tag = tag.lower()
+        if tag in RAW_END:
+            continue
         if m["end"]:
             if tag == "a":
                 in_link = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag not in BLOCK_SET and stack[k][0] in BLOCK_SET:
-                    break
+            k = stack.last((tag,))
+            if k and (tag in BLOCK_SET or k > stack.blocks[-1]):
+                close(k)
             continue
         if tag not in BLOCK_SET:
             tags += 1
@@ -156,36 +228,25 @@ def parse(source: str) -> Page:
             if tag == "a":
                 in_link = 1
             if tag not in VOID and not m["attrs"].endswith("/"):
-                stack.append((tag, stack[-1][1]))
+                stack.push(tag, stack.open[-1][1])
             continue
         in_link = 0
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK_SET:
-                    break
+        if tag in CLOSES_P and stack.open[stack.blocks[-1]][0] == "p":
+            close(stack.blocks[-1])
         if tag in ENDS:
             ends, stops = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in stops:
+            while (k := stack.last(ends)) > stack.last(stops):
+                close(k)
+                if tag != "tr":
                     break
-                if stack[k][0] in ends:
-                    close(k)
-                    if tag != "tr":
-                        break
         flush()
         if tag in ("html", "body"):
             continue
-        if tag != "head" and len(stack) > 1 and stack[-1][0] == "head":
-            close(len(stack) - 1)
-        page.tags.append(tag)
-        page.parents.append(stack[-1][1])
-        page.words.append(word_flags(m["attrs"]) if m["attrs"] else 0)
-        page.labels.append(int(x[1]) if (x := LABEL.search(m["attrs"])) else 0)
-        stack.append((tag, len(page.tags) - 1))
-    pieces.append(source[at:])
+        if tag != "head" and len(stack.open) > 1 and stack.open[-1][0] == "head":
+            close(len(stack.open) - 1)
+        attrs = m["attrs"]
+        stack.push(tag, node(tag, word_flags(attrs) if attrs else 0, int(x[1]) if (x := LABEL.search(attrs)) else 0))
+    pieces.append(CUT.sub("", source[at:]))
     flush()
     return page
 
@@ -205,14 +266,8 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     marks = np.array([t.count(".") + t.count(",") + t.count("!") + t.count("?") for p in pages for t in p.texts], float)
     sums = lambda values: np.bincount(owner, values, n) if len(owner) else np.zeros(n)
     own = [sums(sizes), sums(np.array([x for p in pages for x in p.linked], float)), sums(marks), sums(np.array([x for p in pages for x in p.inline], float)), np.ones(n), (kind == KIND_OF["p"]).astype(float)]
-    depth = np.zeros(n, np.int64)
+    depth = np.array([d for p in pages for d in p.depths], np.int64)
     top = parent == np.arange(n)
-    left = np.flatnonzero(~top)
-    up = parent.copy()
-    while len(left):  # steps up to the page
-        depth[left] += 1
-        left = left[~top[up[left]]]
-        up[left] = parent[up[left]]
     deep = np.argsort(-depth, kind="stable")
     levels = np.split(deep, np.flatnonzero(np.diff(depth[deep])) + 1)
     subtree = np.stack(own)
@@ -354,7 +409,17 @@ class Writer:
         one = lambda: self.tag(self.pick("div", "li", "article"), 0, self.tag(self.pick("p", "div", "h4"), 0, self.words(1, 3)) + self.paragraph(0, 3, 80), self.named("comment"))
         return self.tag(self.pick("section", "div", "ol", "aside"), 0, self.tag("h3", 0, self.words(1, 3)) + "".join(one() for _ in range(int(self.rng.integers(1, 6)))), self.named("comment"))
 
+    def stray(self, label: int, inner: str) -> str:
+        """Text in no block; the note before it labels it."""
+        return f"<!--stray-label={label}-->{inner}<!--stray-label=0-->"
+
+    def bare(self) -> str:
+        """Text without any block."""
+        return self.stray(1, self.words(1, self.pick(6, 60)) + self.pick("", "<br>" + self.words(3, 40)))
+
     def page(self) -> str:
+        if self.some(0.04):
+            return self.bare()
         inner = self.article()
         if self.some(0.25):
             inner += self.pick(self.comments, self.share, self.related, self.form)()
@@ -364,18 +429,26 @@ class Writer:
         )()
         before = [f() for f, p in ((self.head, 0.5), (self.menu, 0.6), (self.notice, 0.3), (self.advert, 0.5), (self.form, 0.2), (self.related, 0.15)) if self.some(p)]
         after = [f() for f, p in ((self.advert, 0.3), (self.comments, 0.35), (self.related, 0.4), (self.form, 0.2), (self.notice, 0.15), (self.menu, 0.2), (self.foot, 0.8)) if self.some(p)]
-        if self.some(0.06):
+        if self.some(0.12):
             before, after = [], []
+        if self.some(0.25):
+            before.append(self.stray(0, self.pick(self.words(1, 5), self.link(), f"{self.link()} | {self.link()}", "&nbsp;")))
+        if self.some(0.1):
+            after.insert(0, self.stray(0, self.pick(self.words(1, 8), self.link())))
+        if self.some(0.12):  # the article's text lies in the page itself
+            lines = [self.pick("<br><br>", "<p>", "<hr>").join(self.words(12, 90) for _ in range(int(self.rng.integers(1, 6))))]
+            main = (self.tag("h1", 1, self.words(2, 9)) if self.some(0.6) else "") + self.stray(1, "".join(lines).replace("<p>", '<p data-label="1">'))
         self.rng.shuffle(before)
         script = "<script>var a='<p>x</p>';</script><!-- c -->" if self.some(0.5) else ""
         body = "".join([*before, script, main, *after])
-        if self.some(0.2):
+        if self.some(0.2) and "stray-label" not in body:
             body = self.tag("div", 1, body, self.pick("wrapper", "container", "site"))
         return f"<!DOCTYPE html><html><head><title>{self.words(1, 5)}</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 
+@lru_cache(maxsize=2)
 def train(pages: int = TRAINING_PAGES, seed: int = 5) -> Boosted:
-    """The trees, from generated labelled pages: the result is the same each time."""
+    """The trees, from generated labelled pages: the result is the same each time, and a process trains once."""
     rng = np.random.default_rng(seed)
     parsed = [parse(Writer(rng).page()) for _ in range(pages)]
     x, _, depth = features(parsed)
@@ -391,7 +464,7 @@ def main_texts(model: Boosted, sources: list[str | None]) -> list[str]:
     out, base = [], 0
     for p in pages:
         # what stands in a head is never shown
-        out.append("\n".join(t for o, t in zip(p.owners, p.texts, strict=True) if kept[base + o] and p.tags[o] != "head"))
+        out.append("\n".join(t for o, t in zip(p.owners, p.texts, strict=True) if kept[base + o] and p.tags[o] not in ("head", "body")))
         base += len(p.tags)
     return out
 
@@ -399,7 +472,7 @@ def main_texts(model: Boosted, sources: list[str | None]) -> list[str]:
 def extract(pages: DataFrame, model: Boosted, key: str = "page_id", source: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """The main text of each whole page: the key, the columns in ``keep``, text and n_chars, its code points.
 
-    Null and empty pages have an empty text, as have pages without any; text outside all elements is the page's own. Repeated rows are
+    Null and empty pages have an empty text, as have pages without any; text outside all block elements is judged stretch by stretch. Repeated rows are
     read each; an empty table gives none; other columns aren't read. No row moves.
     """
     held = pages.sparkSession.sparkContext.broadcast(model)
