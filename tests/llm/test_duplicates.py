@@ -88,9 +88,37 @@ def test_collisions_are_verified(monkeypatch):
     assert own.repeated(np.arange(3), np.zeros(3, np.int64), np.zeros(3, np.int64)).tolist() == [True, False, True]
 
 
-@pytest.mark.parametrize("crowd", [64, 1])
-def test_repeated_strings(docs, corpus, nothing, monkeypatch, crowd):
+def test_least_of_windows():
+    rng = np.random.default_rng(1)
+    for n in (7, 8, 20, 61):
+        for window in (1, 3, 7):
+            value = rng.integers(0, 4, n).astype(np.uint64)  # many ties
+            expected = [i + int(np.argmin(value[i : i + window])) for i in range(n - window + 1)]
+            assert dedup.leftmost_least(value, window).tolist() == expected
+
+
+def test_colliding_hashes_are_compared_by_bytes():
+    held = np.frombuffer(b"abcdabceabcdabcf", np.uint8).reshape(4, 4)
+    same = np.zeros(4, np.uint64)
+    assert dedup.equal_strings(held, np.arange(4), same.astype(np.int64), same, same, 4).tolist() == [True, False, True, False]
+    assert dedup.equal_strings(held[[1, 0, 2, 3]], np.arange(4), same.astype(np.int64), same, same, 4).tolist() == [False, True, True, False]
+
+
+def test_odd_tables(spark):
+    long = "x" * 150 + "y" * 100
+    rows = [(1, long, "a", 1), (1, long, "b", 1), (None, long, "c", 1), (2, None, "d", 1), (None, "", "e", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cls string, parts int")
+    found = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"]) for r in dedup.removed(dedup.repeated_spans(docs)).collect())
+    assert found == [(0, 0, 0, 0), (0, 250, 250, 1), (1, 250, 250, 1), (1, 250, 250, 1), (2, 0, 0, 0)]
+
+
+@pytest.mark.parametrize(("crowd", "group", "unit"), [(64, 2048, 1 << 19), (1, 2048, 40), (2, 3, 40), (1, 1, 1)])
+def test_repeated_strings(docs, corpus, nothing, monkeypatch, crowd, group, unit):
     monkeypatch.setattr(dedup, "CROWD", crowd)
+    monkeypatch.setattr(dedup, "GROUP", group)
+    monkeypatch.setattr(dedup, "UNIT", unit)
+    monkeypatch.setattr(dedup, "BUCKETS", 8)
+    monkeypatch.setattr(dedup, "HOT", 1)
     found = dedup.removed(dedup.repeated_spans(docs, length=200)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, found)) == sorted(repeats(corpus, 200))
     assert dedup.removed(dedup.repeated_spans(nothing)).count() == 0
