@@ -7,7 +7,8 @@ the corpus are out. For the others the bytes around the anchor go to the bucket
 starts of all strings that have this anchor are suffix-sorted by hash-compared merge sort: a string repeats if it
 agrees with a neighbour in all ``length`` bytes.
 
-The anchors of a gram that very many documents share go to several groups of bounded size, and are sorted in parts. Strings that repeat in none of them
+The anchors of a gram that very many documents share go to groups of bounded size. There some anchors are compared with all others
+first, which settles the passage that they share; what is left is sorted in parts. Strings that repeat in none of a gram's groups
 meet those of the other groups by two hashes, and those that meet are sent there as bytes and compared. So no gathering grows with
 a passage's documents, and bytes decide everywhere. Exact copies of a text are one class: a long text with copies is covered as a
 whole, and in a task one of them stands for all. Documents meet their anchors and their spans by shuffled joins on the class.
@@ -35,8 +36,11 @@ GRAM, BLOCK, UNIT = 50, 2 << 20, 1 << 19
 #: The least number of buckets, and the bytes that one holds on average where more are needed for it.
 BUCKETS, BUCKET_BYTES = 1024, 16 << 20
 
-#: Anchors that are sorted together, and anchors of one gram that are gathered in one group.
-CROWD, GROUP = 64, 2048
+#: Anchors that are sorted together, anchors of one gram that are gathered in one group, and those compared with all others of a group.
+CROWD, GROUP, PIVOTS = 64, 8192, 4
+
+#: Strings that a task gathers before they go to where all groups' strings meet.
+MEETINGS = 1 << 20
 
 #: Classes that a task remembers; copies from which a class's rows don't join by shuffling, and its share of all rows for that.
 MOST_SEEN, HOT, HOT_SHARE = 1 << 17, 1000, 1 << 16
@@ -304,18 +308,71 @@ def around(length: int, buckets: int):
     return cut
 
 
-def strings_of(rows: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """All strings that the anchors serve: the anchor's number, the offset in its bytes, and two hashes of the whole string."""
+def starts_of(rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """All strings that the anchors serve: the anchor's number, and the offset in its bytes."""
     reach = length - GRAM
     first, last = reach - rows["first"].astype(np.int64), reach - rows["last"].astype(np.int64)
     n = last - first + 1
-    row = np.repeat(np.arange(len(rows)), n)
-    at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
-    hashes = []
+    return np.repeat(np.arange(len(rows)), n), np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def hashes_of(held: np.ndarray, row: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each whole string."""
+    out = []
     for base in (BASE, OTHER_BASE):
-        sums = prefix_hashes(rows["bytes"], base)
-        hashes.append(mixed((sums[row, at + length] - sums[row, at]) * powers(reach + 1, base)[::-1][at]))
-    return row, at, *hashes
+        sums = prefix_hashes(held, base)
+        out.append(mixed((sums[row, at + length] - sums[row, at]) * powers(held.shape[1] - length + 1, base)[::-1][at]))
+    return out[0], out[1]
+
+
+def settle_crowd(rows: np.ndarray, row: np.ndarray, at: np.ndarray, hit: np.ndarray, length: int) -> np.ndarray:
+    """Which strings of a large group's anchors repeat in it, beside those known for it.
+
+    A few anchors, each the one with most open strings, are compared with all others: the bytes agree from the last difference before the gram
+    to the first one after it, and every string in between is equal. The open strings that are left and share a hash are
+    suffix-sorted, CROWD anchors at a time, and those of different parts are compared by hash and bytes.
+    """
+    held = np.ascontiguousarray(rows["bytes"])
+    reach, width = length - GRAM, held.shape[1]
+    first, last = reach - rows["first"].astype(np.int64), reach - rows["last"].astype(np.int64)
+    n = last - first + 1
+    base = np.cumsum(n) - n
+    hit, tried = hit.copy(), np.zeros(len(rows), bool)
+    for _ in range(PIVOTS):
+        free = np.bincount(row[~hit], minlength=len(rows)) * ~tried
+        p = int(free.argmax())
+        if not free[p]:
+            break
+        tried[p] = True
+        differ = held != held[p]
+        low = np.where(differ[:, :reach].any(axis=1), reach - np.argmax(differ[:, :reach][:, ::-1], axis=1), 0)
+        high = np.where(differ[:, reach + GRAM :].any(axis=1), reach + GRAM + np.argmax(differ[:, reach + GRAM :], axis=1), width) - length
+        low, high = np.maximum(np.maximum(low, first), first[p]), np.minimum(np.minimum(high, last), last[p])
+        fine = (low <= high) & ~differ[:, reach : reach + GRAM].any(axis=1)
+        fine[p] = False
+        turns = np.zeros(len(row) + 1, np.int64)
+        own = np.flatnonzero(fine)
+        np.add.at(turns, base[own] + low[own] - first[own], 1)
+        np.add.at(turns, base[own] + high[own] - first[own] + 1, -1)
+        np.add.at(turns, base[p] + low[own] - first[p], 1)
+        np.add.at(turns, base[p] + high[own] - first[p] + 1, -1)
+        hit |= np.cumsum(turns)[:-1] > 0
+    a, b = hashes_of(held, row, at, length)
+    order = np.argsort(a, kind="stable")
+    same = a[order][1:] == a[order][:-1]
+    shared = np.zeros(len(a), bool)
+    shared[order[1:][same]] = shared[order[:-1][same]] = True
+    k = np.flatnonzero(shared & ~hit)
+    if len(k):
+        hit[k] |= Suffixes(held, length).repeated(row[k], at[k], row[k] // CROWD * (reach + 1) + at[k])
+    open_ = np.flatnonzero(shared & ~hit)
+    if len(open_):
+        mine = shared & np.isin(a, a[open_])
+        known = np.flatnonzero(mine & hit)
+        _, once = np.unique(a[known], return_index=True)  # of strings that are known, one stands for all with its hash
+        k = np.concatenate([open_, known[once]])
+        hit[k] |= equal_strings(held, row[k], at[k], a[k], b[k], length)
+    return hit
 
 
 def equal_strings(held: np.ndarray, row: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
@@ -342,14 +399,21 @@ def equal_strings(held: np.ndarray, row: np.ndarray, at: np.ndarray, a: np.ndarr
 def settled(length: int, groups: int):
     """A mapInArrow function: the bytes that strings cover which repeat in their group, and what split groups don't know.
 
-    In a group anchors with the same bytes around them count as one. The others are suffix-sorted, CROWD at a time; strings
-    of different parts meet by their hashes and are compared by their bytes. Of a gram in several groups the rows go on: to where all
-    groups' strings meet by their hashes (``bucket``), and as they are, under the group's number.
+    In a group anchors with the same bytes around them count as one. The others are suffix-sorted, or settled as a crowd. Of a gram in
+    several groups the strings go on, one of equal ones, to where all groups' strings meet by their hashes
+    (``bucket``), and the rows as they are, under the group's number.
     """
     kind = around_kind(length)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
+        leaving: list[np.ndarray] = []
+
+        def leave() -> pa.RecordBatch:
+            rows = np.concatenate(leaving)
+            leaving.clear()
+            return emitted(list(dealt(rows, rows["a"], groups)))
+
         for rows in gathered(batches, kind):
             cls = np.ascontiguousarray(rows["cls"]).view("<u8").reshape(-1, 2)
             order = np.lexsort((rows["place"], cls[:, 1], cls[:, 0], rows["salt"], rows["gram"]))
@@ -362,30 +426,35 @@ def settled(length: int, groups: int):
             if not len(rows):
                 continue
             alike, number_of, many = contexts(rows, group)
-            own = rows[alike]
-            row, at, a, b = strings_of(own, length)
-            # parts of a group that are sorted together
-            heads = np.flatnonzero(np.concatenate([[True], group[alike][1:] != group[alike][:-1]]))
-            place = np.arange(len(own)) - np.repeat(heads, np.diff(np.append(heads, len(own))))
-            part = np.cumsum(np.concatenate([[True], (group[alike][1:] != group[alike][:-1]) | (place[1:] % CROWD == 0)])) - 1
-            held = np.ascontiguousarray(own["bytes"])
-            hit = many[row] | Suffixes(held, length).repeated(row, at, part[row] * (length - GRAM + 1) + at)
-            large = np.repeat(np.diff(np.append(heads, len(own))) > CROWD, np.diff(np.append(heads, len(own))))[row]
-            k = np.flatnonzero(large)
-            hit[k] |= equal_strings(held, row[k], at[k], a[k], b[k], length)
+            own, group = rows[alike], group[alike]
+            row, at = starts_of(own, length)
+            hit = many[row]
+            heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            tails = np.append(heads[1:], len(own))
+            starts = np.searchsorted(row, np.append(heads, len(own)))
+            few = np.repeat(tails - heads <= CROWD, tails - heads)
+            k = np.flatnonzero(few[row])
+            if len(k):
+                hit[k] |= Suffixes(np.ascontiguousarray(own["bytes"]), length).repeated(row[k], at[k], group[row[k]] * (length - GRAM + 1) + at[k])
+            for i in np.flatnonzero(tails - heads > CROWD):
+                mine = slice(starts[i], starts[i + 1])
+                hit[mine] = settle_crowd(own[heads[i] : tails[i]], row[mine] - heads[i], at[mine], hit[mine], length)
             yield covered(rows, number_of, row, at, hit, length)
-            for g in np.unique(group[alike][own["split"] > 0]):
-                mine = np.flatnonzero(group[alike][row] == g)
-                out = np.zeros(len(mine), MEETING)
-                out["a"], out["b"], out["group"], out["open"] = a[mine], b[mine], number, ~hit[mine]
-                _, once = np.unique(out[["a", "b"]], return_index=True)
-                parts = list(dealt(out[once], out["a"][once], groups))
-                yield emitted(parts, number)
-                packed = np.flatnonzero(group[alike] == g)
-                bits = np.packbits(hit[mine])
-                # each class's anchors whose bytes are alike stand for their own strings
-                yield kept_group(number, own[packed], bits)
+            for i in np.flatnonzero(own["split"][heads] > 0):
+                mine = slice(starts[i], starts[i + 1])
+                some = own[heads[i] : tails[i]]
+                a, b = hashes_of(np.ascontiguousarray(some["bytes"]), row[mine] - heads[i], at[mine], length)
+                out = np.zeros(len(a), MEETING)
+                out["a"], out["b"], out["group"], out["open"] = a, b, number, ~hit[mine]
+                order = np.lexsort((out["open"], b, a))
+                fresh = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+                leaving.append(out[order[fresh | (out["open"][order] > 0)]])
+                yield kept_group(number, some, np.packbits(hit[mine]))
                 number += 1
+                if sum(map(len, leaving)) >= MEETINGS:
+                    yield leave()
+        if leaving:
+            yield leave()
 
     return settle
 
@@ -416,9 +485,9 @@ SETTLED_NAMES = ["cls", "start", "end", "bucket", "group", "held"]
 SETTLED = "cls binary, start long, end long, bucket long, group long, held binary"
 
 
-def emitted(parts: list[tuple[int, bytes]], group: int) -> pa.RecordBatch:
+def emitted(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
     m = len(parts)
-    return pa.RecordBatch.from_arrays([pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * 2, pa.array([k for k, _ in parts], pa.int64()), pa.array([group] * m, pa.int64()), pa.array([x for _, x in parts], pa.binary())], SETTLED_NAMES)
+    return pa.RecordBatch.from_arrays([pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * 2, pa.array([k for k, _ in parts], pa.int64()), pa.nulls(m, pa.int64()), pa.array([x for _, x in parts], pa.binary())], SETTLED_NAMES)
 
 
 def kept_group(group: int, rows: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
@@ -455,12 +524,13 @@ def shown(length: int, buckets: int):
                 raw = zstandard.decompress(held)
                 n = int.from_bytes(raw[:4], "little")
                 rows = np.frombuffer(raw[4 : 4 + n * kind.itemsize], kind)
-                row, at, a, b = strings_of(rows, length)
+                row, at = starts_of(rows, length)
+                a, b = hashes_of(np.ascontiguousarray(rows["bytes"]), row, at, length)
                 hit = np.unpackbits(np.frombuffer(raw[4 + n * kind.itemsize :], np.uint8), count=len(row)).astype(bool)
                 own = np.stack([a, b], axis=1).astype("<u8").view("V16").ravel()
                 mine = np.flatnonzero(np.isin(own, np.frombuffer(pairs, "V16")))
-                _, once = np.unique(own[mine], return_index=True)  # an open string is its group's only one
-                mine = mine[once]
+                _, once = np.unique(own[mine], return_index=True)  # of strings that are known one is enough
+                mine = np.union1d(mine[once], mine[~hit[mine]])
                 out = np.zeros(len(mine), out_kind)
                 out["a"], out["b"], out["cls"], out["open"] = a[mine], b[mine], rows["cls"][row[mine]], ~hit[mine]
                 out["start"] = rows["place"].astype(np.int64)[row[mine]] - (length - GRAM) + at[mine]
@@ -532,7 +602,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     spans = found.where("cls is not null").select("cls", "start", "end")
     if found.where("group is not null").limit(1).count():
         asked = found.where("bucket is not null").select("bucket", "held").repartition("bucket").mapInArrow(met, "group long, pairs binary").groupBy("group").agg(joint("pairs").alias("pairs"))
-        groups = found.where("group is not null and bucket is null").select("group", "held")
+        groups = found.where("group is not null").select("group", "held")
         bytes_ = groups.join(asked, "group").select("held", "pairs").mapInArrow(shown(length, buckets), DEALT)
         spans = spans.union(bytes_.repartition("bucket").mapInArrow(compared(length), "cls binary, start long, end long"))
     # texts with copies are covered as a whole, and their rows need no spans

@@ -119,6 +119,7 @@ def test_repeated_strings(docs, corpus, nothing, monkeypatch, crowd, group, unit
     monkeypatch.setattr(dedup, "UNIT", unit)
     monkeypatch.setattr(dedup, "BUCKETS", 8)
     monkeypatch.setattr(dedup, "HOT", 1)
+    monkeypatch.setattr(dedup, "PIVOTS", 1 if unit == 1 else 4)
     found = dedup.removed(dedup.repeated_spans(docs, length=200)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, found)) == sorted(repeats(corpus, 200))
     assert dedup.removed(dedup.repeated_spans(nothing)).count() == 0
