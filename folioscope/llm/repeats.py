@@ -297,8 +297,8 @@ def around(length: int, buckets: int):
                 rows["cls"] = np.frombuffer(cls, "V16")[0]
                 for c in ("gram", "place", "first", "last"):
                     rows[c] = own[c]
-                groups = -(-own["n"].astype(np.uint64) // np.uint64(GROUP))
-                rows["salt"] = mixed(own["place"].astype(np.uint64) ^ np.frombuffer(cls[:8], "<u8")[0]) % np.maximum(groups, 1)
+                groups = -(-own["n"].astype(np.int64) // GROUP)
+                rows["salt"] = mixed(own["place"].astype(np.uint64) ^ np.frombuffer(cls[:8], "<u8")[0]) % groups.astype(np.uint64)
                 rows["split"] = groups > 1
                 rows["bytes"] = padded[own["place"].astype(np.int64)[:, None] + np.arange(width)]
                 parts.append(rows)
