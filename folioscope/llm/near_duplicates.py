@@ -8,7 +8,8 @@ The lists of all other values are short by that definition, and their pairs are
 that share a frequent retained value form families, which are joined in blocks of bounded size.
 
 Estimates from the union of two sketches sort out most pairs; all others are verified on the full sets.
-Exact copies of a set are one class and are represented by the one with the least key.
+Exact copies of a set are one class: lists hold classes, by 64 bits of their sets' signatures, and the copy with the
+least key represents it afterwards.
 """
 
 from __future__ import annotations
@@ -25,25 +26,25 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, written
+from .common import by_bytes, sieved, spread, written
 from .graph import components
 from .shingles import FACTOR, mixed, shingle_set, signature
 
-#: Bytes of text held at a time, and buckets that hashes are dealt to.
-BLOCK, BUCKETS = 8 << 20, 2048
+#: Bytes of text held at a time, and classes that a task remembers.
+BLOCK, MOST_SEEN = 8 << 20, 1 << 17
+
+#: Bits of the number of buckets that hashes are dealt to, at least, and the bytes of text whose hashes a bucket holds on average where more are needed.
+BITS, BUCKET_BYTES = 11, 32 << 20
 
 #: A value is frequent if more documents than this hold it, and more than all documents' values over the second number.
 FREQUENT, FREQUENT_SHARE = 16, 1 << 22
 
-#: Members in a block of a family, the least and the most, and the blocks of a family for which it grows between.
-LEAST_MEMBERS, MOST_MEMBERS, BLOCKS = 128, 2048, 16
+#: Members in a block of a family, the least and the most, the blocks of a family for which it grows between, and the bytes of their sets.
+LEAST_MEMBERS, MOST_MEMBERS, BLOCKS, MOST_BYTES = 128, 2048, 16, 16 << 20
 
 #: Values of a sketch that estimates, and the chance that it misses a link.
 SKETCH, MISS = 64, 1e-12
 
-#: Rows of a table that is sent to all executors, at most.
-BROADCAST_ROWS = 1 << 21
-
 
 @lru_cache(maxsize=1 << 16)
 def least_common(k: int, t: float) -> int:
@@ -67,26 +68,36 @@ def retained(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def bits_for(size: int) -> int:
+    """The bits of the number of buckets for so many bytes of text."""
+    return max(BITS, int(-(-size // BUCKET_BYTES) - 1).bit_length() if size else 0)
+
+
+def identity(mark: bytes) -> int:
+    """64 bits of a signature; should two sets share them, both stand for each other's pairs until the full sets are compared."""
+    return int.from_bytes(mark[:8], "little", signed=True)
+
+
 class Facts:
     """A mapInArrow function: for each document its set's size and signature, and for each block the values it holds."""
 
     schema = "key long, n long, signature binary, bucket int, held binary"
 
-    def __init__(self, width: int):
-        self.width = width
+    def __init__(self, width: int, bits: int):
+        self.width, self.bits = width, bits
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BLOCK):
             sets = [shingle_set(t, self.width) for t in batch.column("text").to_pylist()]
             marks = [signature(s) for s in sets]
             # documents are dealt to the buckets too; their places keep copies apart
-            yield self.rows(batch.column("key"), [len(s) for s in sets], marks, [(int.from_bytes(x[:4], "little") + i) % BUCKETS for i, x in enumerate(marks)], [None] * len(sets))
-            values = np.sort(np.concatenate(sets) >> np.uint64(21))  # 43 bits: the bucket's 11 and 32 more
+            yield self.rows(batch.column("key"), [len(s) for s in sets], marks, [(int.from_bytes(x[:4], "little") + i) % (1 << self.bits) for i, x in enumerate(marks)], [None] * len(sets))
+            values = np.sort(np.concatenate(sets) >> np.uint64(32 - self.bits))  # the bucket's bits and 32 more
             if len(values):
-                cuts = np.searchsorted(values, np.arange(1, BUCKETS, dtype=np.uint64) << np.uint64(32))
-                held = [x.astype("<u4").tobytes() for x in np.split(values, cuts)]
-                some = [i for i, x in enumerate(held) if x]
-                yield self.rows(pa.nulls(len(some), pa.int64()), [None] * len(some), [None] * len(some), some, [held[i] for i in some])
+                bucket = (values >> np.uint64(32)).astype(np.int64)
+                heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                held = [x.astype("<u4").tobytes() for x in np.split(values, heads[1:])]
+                yield self.rows(pa.nulls(len(held), pa.int64()), [None] * len(held), [None] * len(held), bucket[heads], held)
 
     @staticmethod
     def rows(key, n, sig, bucket, held) -> pa.RecordBatch:
@@ -137,23 +148,29 @@ def unpacked(held: bytes) -> np.ndarray:
     return rows
 
 
-def postings(held, width: int, percent: int):
-    """A mapInArrow function: retained values of class representatives, infrequent ones in buckets, others one by one.
+def postings(held, width: int, percent: int, bits: int):
+    """A mapInArrow function: retained values of a task's classes, infrequent ones in buckets, others one by one.
 
     ``rest`` is how many of the set's values don't come before the retained one, which bounds the intersection.
     """
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.frombuffer(held.value, "<u8")
+        seen: set[bytes] = set()
         for batch in by_bytes(batches, "text", BLOCK):
             plain, hot = [], []
-            for key, text, sig in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "signature")), strict=True):
+            if len(seen) >= MOST_SEEN:
+                seen.clear()
+            for text in batch.column("text").to_pylist():
                 own = shingle_set(text, width)
-                if not len(own) or signature(own) != sig:
+                mark = signature(own)
+                if not len(own) or mark in seen:
                     continue
+                seen.add(mark)
+                key, short = identity(mark), own >> np.uint64(32 - bits)
                 if len(frequent):
-                    at = np.searchsorted(frequent, own >> np.uint64(21))
-                    common = frequent[np.minimum(at, len(frequent) - 1)] == own >> np.uint64(21)
+                    at = np.searchsorted(frequent, short)
+                    common = frequent[np.minimum(at, len(frequent) - 1)] == short
                 else:
                     common = np.zeros(len(own), bool)
                 n, k = len(own), retained(len(own), percent)
@@ -169,13 +186,14 @@ def postings(held, width: int, percent: int):
                 hot.append(rows[len(rare) :][rows["rest"][len(rare) :] >= few])
             rows = np.concatenate(plain) if plain else np.empty(0, POSTING)
             # retained values are least ones, so their hashes are spread anew
-            own = (mixed(rows["value"] ^ FACTOR) >> np.uint64(53)).astype(np.int64)
+            own = (mixed(rows["value"] ^ FACTOR) >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(own, kind="stable")
-            cuts = np.searchsorted(own[order], np.arange(1, BUCKETS))
-            parts = [(i, packed(x)) for i, x in enumerate(np.split(rows[order], cuts)) if len(x)]
+            rows, own = rows[order], own[order]
+            heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+            parts = [(int(own[x]), packed(rows[x:y])) for x, y in zip(heads, [*heads[1:], len(own)][: len(heads)], strict=True)]
             hot = np.concatenate(hot) if hot else np.empty(0, POSTING)
             m, n = len(parts), len(hot)
-            bucket = pa.array([*(i for i, _ in parts), *(mixed(hot["value"] ^ hot["key"].view("<u8")) >> np.uint64(53)).tolist()], pa.int32())
+            bucket = pa.array([*(i for i, _ in parts), *(mixed(hot["value"] ^ hot["key"].view("<u8")) >> np.uint64(64 - bits)).tolist()], pa.int32())
             strings = pa.array([*(x for _, x in parts), *[None] * n], pa.binary())
             own = [pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(hot[c].view("<i8") if c == "value" else hot[c])]) for c in ("value", "key")]
             yield pa.RecordBatch.from_arrays([bucket, strings, *own], ["bucket", "held", "value", "key"])
@@ -197,7 +215,10 @@ def list_pairs(percent: int):
             yield pa.RecordBatch.from_arrays([*[pa.nulls(rest.num_rows, pa.int64())] * 2, rest.column("value"), rest.column("key")], names)
         for parts in found.values():
             rows = np.concatenate([unpacked(x) for x in parts])
-            rows = rows[np.argsort(rows["value"], kind="stable")]
+            rows = rows[np.lexsort((rows["key"], rows["value"]))]
+            again = np.zeros(len(rows), bool)  # copies that other tasks met
+            again[1:] = (rows["value"][1:] == rows["value"][:-1]) & (rows["key"][1:] == rows["key"][:-1])
+            rows = rows[~again]
             values = rows["value"]
             heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
             sizes = np.diff(np.append(heads, len(rows)))
@@ -322,11 +343,6 @@ def sets_of(width: int):
     return make
 
 
-def meeting(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is wanted, once each: a broadcast join where the wanted are counted to be few, else a shuffled one."""
-    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, key)
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Links documents whose shingle sets have a Jaccard similarity of at least ``percent`` and finds their components.
 
@@ -340,7 +356,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str
     """
     spark = docs.sparkSession
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    dealt = own.mapInArrow(Facts(width), Facts.schema).repartition("bucket")
+    bits = bits_for(own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    dealt = own.mapInArrow(Facts(width, bits), Facts.schema).repartition("bucket")
     table = written(dealt.mapInArrow(counted, "key long, n long, signature binary, value long"), "facts")
     facts = table.where("value is null").select("key", "n", "signature")
     classes = written(facts.where("key is not null and n > 0").groupBy("n", "signature").agg(F.min("key").alias("rep")), "classes")
@@ -349,51 +366,76 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, key: str
     found = table.where(F.col("value").isNotNull() & (F.col("n") > total // FREQUENT_SHARE)).select("value").toArrow()
     held = spark.sparkContext.broadcast(np.sort(found.column(0).to_numpy().astype("<u8")).tobytes())
 
-    reps = classes.select(F.col("rep").alias("key"), "signature")
-    dealt = meeting(own, reps, "key").select("key", "text", "signature").mapInArrow(postings(held, width, percent), POSTINGS).repartition("bucket")
+    dealt = own.where("key is not null").select("text").mapInArrow(postings(held, width, percent, bits), POSTINGS).repartition("bucket")
     lists = written(dealt.mapInArrow(list_pairs(percent), MEETINGS), "lists")
-    pairs = lists.where("a is not null").select("a", "b").distinct()
+    met = lists.where("a is not null").select("a", "b").distinct()
 
     hot = lists.where("value is not null").select("value", "key")
     hubs = hot.groupBy("value").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub < last").select("value", "hub")
-    families = written(components(hot.join(hubs, "value").select(F.col("hub").alias("a"), F.col("key").alias("b"))).select(F.col("node").alias("key"), F.col("label").alias("family")), "families")
+    groups = components(spread(hot, hubs, ["value"]).select(F.col("hub").alias("a"), F.col("key").alias("b")))
 
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(families.select("key")).distinct()
-    sets = written(meeting(own, meeting(reps, wanted, "key"), "key").select("key", "text", "signature").mapInArrow(sets_of(width), "key long, held binary, sketch binary"), "sets")
+    # from here on the copy with the least key stands for its class
+    ids = met.select(F.col("a").alias("id")).union(met.select("b")).union(groups.select("node")).distinct()
+    chosen = written(classes.withColumn("id", numbered(F.col("signature"))).join(ids, "id").select("id", F.col("rep").alias("key"), "signature"), "chosen")
+    named = lambda table, end: table.join(chosen.select(F.col("id").alias(end), F.col("key").alias(f"{end}_key")), end)
+    pairs = written(named(named(met, "a"), "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).where("a <> b"), "pairs")
+    families = written(groups.join(chosen, groups["node"] == chosen["id"]).select("key", F.col("label").alias("family")), "families")
+    likely = sieved(own, F.col("key"), chosen.select("key"), "asked").where("asked").select("key", "text")
+    sets = written(likely.join(chosen, "key").select("key", "text", "signature").mapInArrow(sets_of(width), "key long, held binary, sketch binary"), "sets")
 
     likely = tested(pairs, sets.select("key", F.col("sketch").alias("held")), may_link(percent))
     between = tested(likely, sets, links(percent))
 
+    measured = families.join(sets.select("key", F.octet_length("held").alias("size")), "key")
     parts = lambda most: F.ceil(F.count("*") / F.lit(most)).cast("int")
-    sizes = families.groupBy("family").agg(F.least(parts(LEAST_MEMBERS), F.greatest(F.lit(BLOCKS), parts(MOST_MEMBERS))).alias("blocks"))
-    members = families.join(sizes, "family").join(sets.drop("sketch"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    heavy = F.ceil(F.sum("size") / F.lit(MOST_BYTES)).cast("int")
+    sizes = measured.groupBy("family").agg(F.greatest(heavy, F.least(parts(LEAST_MEMBERS), F.greatest(F.lit(BLOCKS), parts(MOST_MEMBERS)))).alias("blocks"))
+    members = spread(families, sizes, ["family"]).join(sets.drop("sketch"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = members.withColumn("other", other).select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "block", "held")
     inside = dealt.groupBy("family", "low", "high").applyInArrow(block_links(percent), "a long, b long")
 
-    classed = facts.join(classes, ["n", "signature"], "left")
-    several = classed.where("key is not null").groupBy("key").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 0 and not (size(reps) = 1 and reps[0] = key)")
-    own_links = several.where("size(reps) > 1").select(F.array_min("reps").alias("a"), F.explode("reps").alias("b"))
+    classed = written(spread(facts.where("key is not null"), classes, ["n", "signature"], "left").select("key", "n", "rep"), "classed")
+    by_key = written(classed.groupBy("key").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")), "keys")
+    # rows that repeat a key link their classes, and the key to them
+    several = by_key.where("rep < last").select("key", F.col("rep").alias("first"))
+    own_links = classed.join(several, "key").where("rep is not null").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     joined = components(between.union(inside).union(own_links))
-    by_key = classed.where("key is not null").groupBy("key").agg(F.min("rep").alias("rep"))
-    labelled = by_key.join(joined, by_key["rep"] == joined["node"], "left").select("key", F.coalesce("label", "rep", "key").alias("component_id"))
+    labels = joined.select(F.col("node").alias("rep"), "label")
+    labelled = spread(by_key.select("key", "rep"), labels, ["rep"], "left").select("key", F.coalesce("label", "rep", "key").alias("component_id"))
     out = facts.join(labelled, "key", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("key"), F.lit(False)).alias("kept"))
 
 
+def numbered(mark: F.Column) -> F.Column:
+    """The number that :func:`identity` gives a signature."""
+    byte = lambda i: F.conv(F.hex(F.substring(mark, i, 1)), 16, 10).cast("long")
+    out = byte(1)
+    for i in range(2, 9):
+        out = out.bitwiseOR(F.shiftleft(byte(i), 8 * (i - 1)))
+    return out
+
+
 def representatives(docs: DataFrame, percent: int = 85, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are kept, one of each component, with all their columns.
 
-    Rows without a key all stay; of rows that repeat a kept key one stays. The rows that go are found by a join with
-    their keys, which are sent to all executors only where they are counted to be few.
+    Rows without a key all stay; of rows that repeat a kept key one stays. The rows that go are found by a shuffled join with
+    their keys; a sieve keeps most others out of it.
     """
     found = written(near_duplicates(docs, percent, width, key, text).select(F.col(key).alias("key"), "kept"), "kept")
-    gone = found.where("key is not null and not kept").select(F.col("key").alias("gone")).distinct()
-    again = found.where("kept").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("again"))
-    few = lambda table: F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-    left = docs.join(few(gone), F.col(key).cast("long") == F.col("gone"), "left_anti")
+    gone = written(found.where("key is not null and not kept").select("key").distinct(), "gone")
+    again = written(found.where("kept").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
+
+    def without(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows whose keys aren't among these, and those whose keys are."""
+        marked = sieved(rows, F.col(key).cast("long"), keys, "sieve_of_keys")
+        maybe = marked.where("sieve_of_keys").drop("sieve_of_keys")
+        on = F.col(key).cast("long") == F.col("sieved_key")
+        own = keys.select(F.col("key").alias("sieved_key"))
+        return marked.where("not sieve_of_keys").drop("sieve_of_keys").union(maybe.join(own, on, "left_anti")), maybe.join(own, on, "left_semi")
+
+    left, _ = without(docs, gone)
     if not again.limit(1).count():
         return left
-    again = few(again)
-    once = left.join(again, F.col(key).cast("long") == F.col("again"), "left_anti")
-    return once.unionByName(left.join(again, F.col(key).cast("long") == F.col("again"), "left_semi").dropDuplicates([key]))
+    once, more = without(left, again)
+    return once.union(more.dropDuplicates([key]))
