@@ -51,7 +51,7 @@ def op4_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return nearest(rows, rows.where("vec_id % 20 = 0"), k=20, trees=16, share=0.1)
+    return nearest(rows, rows.where("vec_id % 20 = 0"), k=20, trees=8, recall=0.95)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from brute import components as slow_components
 from brute import contamination, repeats, secrets as slow_secrets
 from pyspark.sql import functions as F
 
-from folioscope.llm import common, graph, near_duplicates, repeats as dedup
+from folioscope.llm import common, graph, near_duplicates, neighbours, repeats as dedup
 from folioscope.llm.graph import components
 from folioscope.llm.neighbours import nearest
 from folioscope.llm.suffix_sort import Suffixes
@@ -173,11 +173,40 @@ def test_neighbours(spark):
         best = sorted(((-(v * fine[q]).sum(), i) for i, v in fine.items() if i != q))[:20]
         recall.append(len({i for _, i in best} & {x[1] for x in own}) / 20)
     assert np.mean(recall) >= 0.9
+    again = nearest(table.union(table), table.where("vec_id % 20 = 0")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in again) == sorted((q, *x) for q, own in found.items() for x in own)
+    sizes = spark.createDataFrame([(0, [1.0, 2.0], "r"), (1, [2.0, 1.0], "r"), (2, [1.0, 1.0, 1.0], "r"), (3, [0.0, 0.0, 3.0], "r"), (4, [5.0, 5.0], "r")], "vec_id long, embedding array<double>, rank string")
+    assert sorted(map(tuple, nearest(sizes, sizes).collect())) == [(0, 1, 4, 15.0), (0, 2, 1, 4.0), (1, 1, 4, 15.0), (1, 2, 0, 4.0), (2, 1, 3, 3.0), (3, 1, 2, 3.0), (4, 1, 0, 15.0), (4, 2, 1, 15.0)]
     assert nearest(table.limit(0), table.limit(0)).count() == 0
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
     assert nearest(few, few.where("vec_id = 0")).count() == 2
 
 
+@pytest.mark.parametrize(("spread", "most"), [(0.05, 0.12), (10.0, 1.0)])
+def test_share_of_rows_that_a_recall_takes(spark, monkeypatch, spread, most):
+    """Clustered vectors need few rows, uniform ones many; either way the recall is met, also with leaves in several groups."""
+    monkeypatch.setattr(neighbours, "GROUP", 50)
+    monkeypatch.setattr(neighbours, "LEAF", 32)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    rows = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * spread
+    rows = (rows / np.linalg.norm(rows, axis=1)[:, None]).astype(np.float32)
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<float>")
+    asked = table.where("vec_id % 20 = 0")
+    usable = [neighbours.usable(x, "vec_id", "embedding") for x in (table, asked)]
+    share = neighbours.index_of(*usable, 20, 8, 0.95, 11, "<f4").forests[16].share
+    found: dict[int, set[int]] = {}
+    for r in nearest(table, asked).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for q, own in found.items():
+        exact = rows.astype(float) @ rows[q].astype(float)
+        exact[q] = -9
+        recall.append(len(own & set(np.argsort(-exact)[:20].tolist())) / 20)
+    print(f"spread {spread}: recall {np.mean(recall):.3f} at a share of {share:.3f}")
+    assert len(found) == 200 and np.mean(recall) >= 0.9 and share <= most
+
+
 def test_pipeline(spark, corpus, tmp_path):
     import corpus_pipeline
 
