@@ -29,6 +29,9 @@ BLOCK = 4 << 20
 #: The sample that is learned from: documents of a language and of all, the least of a language, and windows of a document.
 SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_LEAST, SAMPLE_WINDOWS = 256, 16_384, 8, 6
 
+#: Languages whose numbers of documents come to the rows, the largest ones; of all others every row competes for the sample.
+MOST_LARGE = 1 << 14
+
 
 @dataclass
 class Direction:
@@ -83,17 +86,17 @@ class Direction:
             inputs[:, k] = np.bincount(flat, rows[:, k], 256)
         return inputs, recurrent
 
-    def scores(self, symbols: np.ndarray) -> np.ndarray:
-        """Output scores after each step, without what training needs."""
+    def scores(self, symbols: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Output scores after each step from a given one, without what training needs."""
         hidden, n = self.recurrent.shape[0], symbols.shape[1]
         half = self.inputs.copy()
         half[:, : 2 * hidden] *= 0.5
         weights = self.recurrent.copy()
         weights[:, : 2 * hidden] *= 0.5
-        h, out = np.zeros((n, hidden), np.float32), np.empty((*symbols.shape, self.output.shape[1]), np.float32)
+        h, out = np.zeros((n, hidden), np.float32), np.empty((len(symbols) - skip, n, self.output.shape[1]), np.float32)
         x, u = np.empty((n, 3 * hidden), np.float32), np.empty((n, 3 * hidden), np.float32)
         for t, row in enumerate(symbols):
-            np.take(half, row, axis=0, out=x)
+            np.take(half, row, axis=0, out=x, mode="clip")  # unchecked: bytes fit
             np.matmul(h, weights, out=u)
             gates = x[:, : 2 * hidden]
             gates += u[:, : 2 * hidden]
@@ -107,7 +110,8 @@ class Direction:
             h -= new
             h *= gates[:, :hidden]
             h += new
-            np.matmul(h, self.output, out=out[t])
+            if t >= skip:
+                np.matmul(h, self.output, out=out[t - skip])
         return out
 
 
@@ -160,20 +164,32 @@ class Network:
         tail = np.minimum(past - start - length, LEAD)
         buffer = np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8)
         total = np.zeros((len(texts), len(self.names)), np.float64)
-        order = np.argsort(-length, kind="stable")
+        order = np.lexsort((tail, lead, -length))
         steps = np.arange(WINDOW)[:, None]
         batch = max(16, BATCH // max(4, len(self.names)))
-        for i in range(0, len(order), batch):
-            own = order[i : i + batch]
+        # parts that are alike in all sizes are read without regard to single ones
+        kind = (length * WINDOW + lead) * WINDOW + tail
+        turns = np.flatnonzero(np.concatenate([[True], kind[order][1:] != kind[order][:-1], [True]])) if len(order) else np.zeros(0, np.int64)
+        cuts = {0, len(order)}
+        for a, b in zip(turns[:-1].tolist(), turns[1:].tolist(), strict=True):
+            if b - a >= batch // 4:
+                cuts |= {a, b}
+        cuts = sorted(cuts)
+        spans = [(i, min(i + batch, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) for i in range(a, b, batch)]
+        for lo, hi in spans:
+            own = order[lo:hi]
             at, n, before, after = start[own], length[own], lead[own], tail[own]
             most = int(n.max())
             far, back = int((n + before).max()), int((n + after).max())
-            ahead = self.forward.scores(buffer[at - before + steps[:far]])
-            behind = self.backward.scores(buffer[np.maximum(at + n + after - 1 - steps[:back], 0)])
-            # the networks' places of each byte of the part
-            there, here = np.minimum(before + steps[:most], far - 1), np.maximum(n + after - 1 - steps[:most], 0)
-            scores = np.take_along_axis(ahead, there[:, :, None], axis=0)
-            scores += np.take_along_axis(behind, here[:, :, None], axis=0)
+            forth, turned = at - before + steps[:far], np.maximum(at + n + after - 1 - steps[:back], 0)
+            if kind[own[0]] == kind[own[-1]]:
+                scores = self.forward.scores(buffer[forth], int(before[0]))
+                scores += self.backward.scores(buffer[turned], int(after[0]))[::-1]
+            else:
+                # the networks' places of each byte of the part
+                there, here = np.minimum(before + steps[:most], far - 1), np.maximum(n + after - 1 - steps[:most], 0)
+                scores = np.take_along_axis(self.forward.scores(buffer[forth]), there[:, :, None], axis=0)
+                scores += np.take_along_axis(self.backward.scores(buffer[turned]), here[:, :, None], axis=0)
             scores += self.bias
             np.exp(scores - scores.max(axis=2, keepdims=True), out=scores)
             scores /= scores.sum(axis=2, keepdims=True)
@@ -206,9 +222,11 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if not kinds:
         return None
     most = max(SAMPLE_LEAST, min(SAMPLE_DOCS, SAMPLE_TOTAL // kinds))
-    # a few times the share that is wanted, by hash, of which the least are taken
+    # of large languages a few times the share that is wanted, by hash, of which the least are taken
+    large = F.broadcast(counts.where(F.col("n") > 3 * most).orderBy(F.desc("n"), "lang").limit(MOST_LARGE))
     spot = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("language sample")), F.lit(1 << 30))
-    near = own.join(counts, "lang").withColumn("spot", spot).where(F.col("spot") * F.col("n") < F.lit(3.0 * most * (1 << 30))).where(F.col("text").rlike(r"\p{L}"))
+    chosen = F.col("n").isNull() | (F.col("spot") * F.col("n") < F.lit(3.0 * most * (1 << 30)))
+    near = own.withColumn("spot", spot).join(large, "lang", "left").where(chosen).where(F.col("text").rlike(r"\p{L}"))
     # pieces from anywhere in the text, chosen by hash
     pieces = F.least(F.lit(SAMPLE_WINDOWS), F.floor(F.length("text") / WINDOW) + 1).cast("int")
     spots = F.transform(F.sequence(F.lit(1), pieces), lambda i: F.pmod(F.xxhash64("key", i), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))))
