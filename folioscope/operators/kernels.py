@@ -389,8 +389,15 @@ def json_shape(c: Column) -> Column:
 
 
 def json_without_media(c: Column) -> Column:
-    """A JSON text without media."""
-    return _unary("string", lambda t: json.dumps(without_media(json.loads(t)), sort_keys=True, ensure_ascii=False))(c)
+    """A JSON text without media; null for other texts."""
+
+    def read(text: str) -> str | None:
+        try:
+            return json.dumps(without_media(json.loads(text)), sort_keys=True, ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return _unary("string", read)(c)
 
 
 def best_regions(figures: np.ndarray, regions: np.ndarray, least: float = 0.45, ambiguity: float = 0.8) -> list[int | None]:

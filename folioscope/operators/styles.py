@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def chains(parents: DataFrame, key: str, depth: int = 32) -> DataFrame:
+def chains(parents: DataFrame, key: str) -> DataFrame:
     """Each style with all it builds on: key, style, ancestor, distance (0: itself).
 
-    Parents are rows (key, style, based_on). A chain longer than ``depth`` steps, as a cycle makes, has no row of distance 0 and is in :func:`cycles`.
-    The chain doubles with each join, so few rounds do.
+    Parents are rows (key, style, based_on). A chain ends at a style without a parent or where it would come back to a style that it
+    holds; that style is its last row again. A task holds the styles of one document.
     """
-    known = parents.select(key, "style").distinct()
-    step = parents.where("based_on is not null").select(key, "style", F.col("based_on").alias("ancestor"), F.lit(1).alias("distance"))
-    reach, span = step, 1
-    while span < depth:
-        far = reach.where(F.col("distance") == span).alias("a")
-        more = far.join(reach.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.ancestor") == F.col("b.style")))
-        more = more.select(F.col(f"a.{key}").alias(key), F.col("a.style").alias("style"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        reach, span = reach.union(more), span * 2
-    return known.select(key, "style", F.col("style").alias("ancestor"), F.lit(0).alias("distance")).union(reach)
-
-
-def cycles(parents: DataFrame, key: str, depth: int = 32) -> DataFrame:
+    kind = parents.schema[key].dataType.simpleString()
+
+    def walk(own: pd.DataFrame) -> pd.DataFrame:
+        known = own["style"].tolist()
+        above = {s: b for s, b in zip(known, own["based_on"], strict=True) if isinstance(b, str)}
+        rows = []
+        for style in dict.fromkeys(known):
+            met, at, n = set(), style, 0
+            while at is not None:
+                rows.append((own[key].iloc[0], style, at, n))
+                if at in met:
+                    break
+                met.add(at)
+                at, n = above.get(at), n + 1
+        return pd.DataFrame(rows, columns=[key, "style", "ancestor", "distance"])
+
+    return parents.select(key, "style", "based_on").groupBy(key).applyInPandas(walk, f"{key} {kind}, style string, ancestor string, distance int")
+
+
+def cycles(parents: DataFrame, key: str) -> DataFrame:
     """Styles that come to build on themselves."""
-    return chains(parents, key, depth).where("distance > 0 and ancestor = style").select(key, "style").distinct()
+    return chains(parents, key).where("distance > 0 and ancestor = style").select(key, "style").distinct()
 
 
 def nearest_property(chain: DataFrame, properties: DataFrame, key: str) -> DataFrame:
@@ -41,13 +50,32 @@ def hidden_styles(chain: DataFrame, toggles: DataFrame, key: str) -> DataFrame:
     return chain.join(on, [key, "ancestor"], "left").groupBy(key, "style").agg((F.coalesce(F.sum("turn"), F.lit(0)) % 2 == 1).alias("hidden"))
 
 
-def font_closure(fonts: DataFrame, aliases: DataFrame, key: str, rounds: int = 6) -> DataFrame:
-    """Fonts that are symbol fonts by any chain of alternate names; aliases are (key, font, other) and hold both ways."""
-    both = aliases.select(key, "font", "other").union(aliases.select(key, F.col("other"), F.col("font"))).toDF(key, "font", "other").distinct()
-    found = fonts.select(key, "font").distinct()
-    for _ in range(rounds):
-        found = found.union(both.join(found, [key, "font"]).select(key, F.col("other").alias("font"))).distinct()
-    return found
+def font_closure(fonts: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
+    """Fonts that are symbol fonts by any chain of alternate names, however long; aliases are (key, font, other) and hold both ways.
+
+    A task holds the fonts of one document.
+    """
+    kind = fonts.schema[key].dataType.simpleString()
+    rows = fonts.select(key, "font", F.lit(None).cast("string").alias("other")).unionByName(aliases.select(key, "font", "other"))
+
+    def close(own: pd.DataFrame) -> pd.DataFrame:
+        linked: dict[str, list[str]] = {}
+        found = []
+        for font, other in zip(own["font"], own["other"], strict=True):
+            if isinstance(other, str):
+                linked.setdefault(font, []).append(other)
+                linked.setdefault(other, []).append(font)
+            else:
+                found.append(font)
+        seen = set(found)
+        while found:
+            for other in linked.get(found.pop(), ()):
+                if other not in seen:
+                    seen.add(other)
+                    found.append(other)
+        return pd.DataFrame({key: [own[key].iloc[0]] * len(seen), "font": sorted(seen)})
+
+    return rows.groupBy(key).applyInPandas(close, f"{key} {kind}, font string")
 
 
 def first_fault(properties: DataFrame, rules: DataFrame, key: str) -> DataFrame:

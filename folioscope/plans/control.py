@@ -339,6 +339,6 @@ ORACLES |= {
     "agg_table_scores": f"WITH {BOXES} SELECT page_id, count(*) AS cells, count(*) FILTER (WHERE box_id % 3 <> 2) AS there, count(*) FILTER (WHERE box_id % 3 <> 2 AND box_id // 3 <> 1) AS equal FROM boxes GROUP BY page_id",
     "con_truth": f"WITH {BOXES} SELECT a.page_id, a.box_id AS a, a.box_id + 2 AS b FROM boxes a LEFT JOIN boxes b ON a.page_id = b.page_id AND b.box_id = a.box_id + 2 AND b.label <> 'R' WHERE a.label = 'R' OR b.box_id IS NULL",
     "con_plan_bind": f"WITH {LEDGER} SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'PLAN_HASH' WHEN duration_ms > 90 THEN 'PLAN_EXPIRED' WHEN event_id % 7 = 0 THEN 'PLAN_BUDGET' WHEN substr(sha256(provider || ':' || variant), 1, 1) = 'a' THEN 'PLAN_SOURCE' END AS code FROM ledger",
-    "con_spans": f"WITH {BOXES} SELECT page_id, box_id % 2 AS col, box_id AS row, CAST(length(label) AS BIGINT) AS rowspan, 'left' AS side FROM boxes WHERE page_id < 300 AND page_id % 5 = 0",
+    "con_spans": f"WITH {BOXES} SELECT page_id, box_id % 2 AS col, box_id AS row, CAST(length(label) AS BIGINT) AS rowspan, 'left' AS side FROM boxes WHERE page_id % 5 = 0",
     "lin_identity": "SELECT conv_id, sha256(string_agg(turn || '|' || role || '|' || sha256(text), ',' ORDER BY turn, role, text)) AS identity FROM conversations GROUP BY conv_id",
 }

@@ -81,7 +81,7 @@ QUERIES = [geo_cluster_regions, geo_merge_requests, geo_rows_of, join_greedy_iou
 ORACLES = {
     "txt_abnormal": r"SELECT doc_id, doc_id % 9 = 0 OR regexp_matches(text, '[\x{FFFD}\x{E000}-\x{F8FF}\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{00A0}\x{00AD}\x{200B}\x{200E}\x{200F}\x{2028}\x{2029}\x{FEFF}]') AS abnormal FROM documents",
     "prj_strip_media": """SELECT page_id, '{"link": "' || CASE WHEN regexp_matches(url, '^(https?://|data:)') THEN '[MEDIA_REMOVED]' ELSE url END || '", "page": {"n": ' || length(html) || '}}' AS value FROM pages""",
-    "rev_apply": """WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:4]) AS t, generate_subscripts(string_split(text, chr(10))[1:4], 1) AS ord FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k FROM (SELECT doc_id, CAST(ord AS BIGINT) AS ord, substr(t, 1, 60) AS t FROM r))
+    "rev_apply": """WITH r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k FROM (SELECT doc_id, CAST(ord AS BIGINT) AS ord, t FROM r))
 SELECT doc_id AS document_id, CASE WHEN k = 1 THEN ord WHEN ord = 1 THEN ord ELSE ord - 1 END AS ord, 'b' || ord AS id, CASE WHEN k > 1 AND ord = 1 THEN 'fixed' || (SELECT t FROM n m WHERE m.doc_id = n.doc_id AND m.ord = 2) ELSE t END AS text, 'flow' AS policy, CASE WHEN k = 1 THEN 'INVALID_MERGE' END AS error FROM n WHERE k = 1 OR ord <> 2""",
 }
 

@@ -49,16 +49,16 @@ def test_page_classes(spark):
 
 def test_styles(spark):
     parents = spark.createDataFrame([(1, "a", None), (1, "b", "a"), (1, "c", "b"), (2, "x", "y"), (2, "y", "x")], "doc long, style string, based_on string")
-    chain = styles.chains(parents.where("doc = 1"), "doc", depth=4)
+    chain = styles.chains(parents.where("doc = 1"), "doc")
     assert {(r["style"], r["ancestor"], r["distance"]) for r in chain.collect()} == {("a", "a", 0), ("b", "b", 0), ("b", "a", 1), ("c", "c", 0), ("c", "b", 1), ("c", "a", 2)}
-    assert {r["style"] for r in styles.cycles(parents, "doc", depth=4).collect()} == {"x", "y"}
+    assert {r["style"] for r in styles.cycles(parents, "doc").collect()} == {"x", "y"}
     toggles = spark.createDataFrame([(1, "a", True), (1, "c", True)], "doc long, style string, enabled boolean")
     assert {r["style"]: r["hidden"] for r in styles.hidden_styles(chain, toggles, "doc").collect()} == {"a": True, "b": True, "c": False}
     values = spark.createDataFrame([(1, "a", "size", "10"), (1, "b", "size", "12")], "doc long, style string, property string, value string")
     assert {r["style"]: r["value"] for r in styles.nearest_property(chain, values, "doc").collect()} == {"a": "10", "b": "12", "c": "12"}
     fonts = spark.createDataFrame([(1, "Sym")], "doc long, font string")
-    aliases = spark.createDataFrame([(1, "B", "Sym"), (1, "C", "B"), (1, "D", "E")], "doc long, font string, other string")
-    assert {r["font"] for r in styles.font_closure(fonts, aliases, "doc", rounds=3).collect()} == {"Sym", "B", "C"}
+    aliases = spark.createDataFrame([(1, "B", "Sym"), (1, "C", "B"), (1, "D", "E"), *((1, f"L{i}", f"L{i + 1}") for i in range(40)), (1, "C", "L0")], "doc long, font string, other string")
+    assert {r["font"] for r in styles.font_closure(fonts, aliases, "doc").collect()} == {"Sym", "B", "C"} | {f"L{i}" for i in range(41)}
 
 
 def test_lookups(spark):
