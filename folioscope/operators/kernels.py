@@ -363,8 +363,8 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def abnormal_text(c: Column) -> Column:
-    """:func:`abnormal` of a column."""
-    return _unary("boolean", abnormal)(c)
+    """:func:`abnormal` of a column, in one pass of a pattern."""
+    return c.rlike(r"[\x{FFFD}\p{C}\p{Z}&&[^ \r\n\t]]")
 
 
 def _unary(kind: str, function):
@@ -376,6 +376,11 @@ def _unary(kind: str, function):
     return apply
 
 
+def mapped_text(kind: str, function, c: Column) -> Column:
+    """A function of each text, null for null: for rules that built-in functions can't express."""
+    return _unary(kind, function)(c)
+
+
 def json_shape(c: Column) -> Column:
     """The shape of a JSON text, as JSON with sorted keys; null for other texts."""
 
