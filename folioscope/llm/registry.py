@@ -12,6 +12,7 @@ from .decontamination import find_contamination, judged
 from .language import held_out, identify, learn
 from .near_duplicates import near_duplicates
 from .neighbours import nearest
+from .oracles import ORACLES
 from .packing import pack
 from . import html_text, secrets
 from .repeats import removed, repeated_spans
@@ -83,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
