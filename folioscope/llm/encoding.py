@@ -17,7 +17,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks, and pieces of them, that a worker has at hand, and that it keeps from one task to the next.
-MOST_CHUNKS, MOST_PIECES, KEPT = 200_000, 300_000, 20_000
+MOST_CHUNKS, MOST_PIECES, KEPT = 120_000, 160_000, 20_000
 
 #: White space to Python's str and re but not to the tokenizers' patterns.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -112,6 +112,7 @@ class Encoder:
         if self.added is None:
             self.rule = None
         self.letters = byte_letters()
+        self.space = self.letters[32]
         self.small = Chunks(self.piece)
         self.known, self.before = Chunks(self.chunk), {}
         self.after, self.after_before = Chunks(self.word), {}  # words after a space, without it
@@ -122,7 +123,10 @@ class Encoder:
 
     def piece(self, piece: str) -> bytes:
         """Ids of one of the model's pieces."""
-        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        if piece.isascii() and piece[:1] == " " and piece[1:].isalpha():  # a space and letters, which stand for themselves
+            found = self.model.tokenize(self.space + piece[1:])
+        else:
+            found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def chunk(self, chunk: str) -> bytes:

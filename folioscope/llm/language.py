@@ -21,7 +21,7 @@ from .common import by_bytes
 WINDOW, LEAD = 256, 32
 
 #: Parts read at a time, divided by the number of languages: their states stay in the processor's cache.
-BATCH = 8192
+BATCH = 4096
 
 #: Bytes of text held at a time.
 BLOCK = 4 << 20
