@@ -17,7 +17,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks, and pieces of them, that a worker has at hand, and that it keeps from one task to the next.
-MOST_CHUNKS, MOST_PIECES, KEPT = 120_000, 160_000, 20_000
+MOST_CHUNKS, MOST_PIECES, KEPT = 200_000, 200_000, 20_000
 
 #: White space to Python's str and re but not to the tokenizers' patterns.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -123,10 +123,7 @@ class Encoder:
 
     def piece(self, piece: str) -> bytes:
         """Ids of one of the model's pieces."""
-        if piece.isascii() and piece[:1] == " " and piece[1:].isalpha():  # a space and letters, which stand for themselves
-            found = self.model.tokenize(self.space + piece[1:])
-        else:
-            found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def chunk(self, chunk: str) -> bytes:
@@ -145,12 +142,25 @@ class Encoder:
                 return self.small[body] + self.small[last]
         return b"".join(map(self.small.__getitem__, self.rule.cut(chunk)))
 
+    def plain(self, word: str) -> bytes:
+        """Ids of a space and a word of letters, which are one piece."""
+        found = self.model.tokenize(self.space + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
     def word(self, word: str) -> bytes:
-        """Ids of a space and a word that aren't at hand."""
+        """Ids of a space and a word that aren't at hand; a word of letters may have one mark after it."""
+        ids = self.after_before.get(word)
+        if ids is not None:
+            return ids
+        if word and (word.isascii() or max(word) < PLAIN):
+            if word.isalpha():
+                return self.plain(word)
+            body, last = word[:-1], word[-1]
+            if last in MARKS and body.isalpha():
+                return self.after[body] + self.small[last]
         if not word or word != word.strip():
             raise Uneven
-        ids = self.after_before.get(word)
-        return self.chunk(f" {word}") if ids is None else ids
+        return self.chunk(f" {word}")
 
     def lines(self, text: str) -> bytes:
         """Ids of a text whose words have one space or line end between, under a rule that keeps spaces."""

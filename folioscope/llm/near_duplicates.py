@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, sieved, spread, written
+from .common import by_bytes, settle, sieved, spread, written
 from .graph import components
 from .shingles import FACTOR, mixed, shingle_set, signature
 
@@ -121,13 +121,15 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[int, list[bytes]] = {}
     for rest in split(batches, found):
         yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in names[:3]), pa.nulls(rest.num_rows, pa.int64())], names)
-    for bucket, parts in found.items():
+    while found:
+        bucket, parts = found.popitem()
         values, counts = np.unique(np.frombuffer(b"".join(parts), "<u4"), return_counts=True)
         own = counts > FREQUENT
         value = (np.int64(bucket) << np.int64(32)) | values[own].astype(np.int64)
         n = len(value)
         if n:
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(counts[own].astype(np.int64)), pa.nulls(n, pa.binary()), pa.array(value)], names)
+    settle()
 
 
 POSTING = np.dtype([("value", "<u8"), ("key", "<i8"), ("n", "<i4"), ("rest", "<i4")])
@@ -213,7 +215,8 @@ def list_pairs(percent: int):
         found: dict[int, list[bytes]] = {}
         for rest in split(batches, found):
             yield pa.RecordBatch.from_arrays([*[pa.nulls(rest.num_rows, pa.int64())] * 2, rest.column("value"), rest.column("key")], names)
-        for parts in found.values():
+        while found:
+            _, parts = found.popitem()
             rows = np.concatenate([unpacked(x) for x in parts])
             rows = rows[np.lexsort((rows["key"], rows["value"]))]
             again = np.zeros(len(rows), bool)  # copies that other tasks met
@@ -238,6 +241,7 @@ def list_pairs(percent: int):
             for i in range(0, keys.shape[1], 10_000):
                 own = keys[:, i : i + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), *[pa.nulls(own.shape[1], pa.int64())] * 2], names)
+        settle()
 
     return pair
 
@@ -250,6 +254,7 @@ def filtered(keep):
             columns = (batch.column(c).to_pylist() for c in ("a", "b", "left", "right"))
             out = [(a, b) for a, b, x, y in zip(*columns, strict=True) if keep(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+        settle()
 
     return check
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, written
+from .common import by_bytes, settle, written
 from .shingles import mixed
 from .suffix_sort import BASE, Suffixes, powers, prefix_hashes
 
@@ -160,6 +160,7 @@ def gathered(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.n
     while found:
         _, parts = found.popitem()
         yield np.frombuffer(b"".join(zstandard.decompress(x) for x in parts), kind)
+    settle()
 
 
 def packed_rows(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:

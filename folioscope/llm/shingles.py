@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Word hashes that a worker keeps.
-MOST_WORDS = 200_000
+MOST_WORDS = 100_000
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
