@@ -29,7 +29,10 @@ def chains(parents: DataFrame, key: str) -> DataFrame:
                 at, n = above.get(at), n + 1
         return pd.DataFrame(rows, columns=[key, "style", "ancestor", "distance"])
 
-    return parents.select(key, "style", "based_on").groupBy(key).applyInPandas(walk, f"{key} {kind}, style string, ancestor string, distance int")
+    own = parents.select(key, F.col("style").cast("string").alias("style"), F.col("based_on").cast("string").alias("based_on"))
+    found = own.groupBy(key).applyInPandas(walk, f"{key} {kind}, style string, ancestor string, distance int")
+    named = parents.schema["style"].dataType
+    return found.select(key, F.col("style").cast(named).alias("style"), F.col("ancestor").cast(named).alias("ancestor"), "distance")
 
 
 def cycles(parents: DataFrame, key: str) -> DataFrame:

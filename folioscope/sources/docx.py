@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -18,7 +19,7 @@ M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
 
 # Limits, what tracked changes are called, and what stands for a character.
 MOST_PACKAGE = 128 << 20
-REVISIONS = {f"{W}{n}" for n in ("ins", "del", "moveFrom", "moveTo", "rPrChange", "pPrChange", "sectPrChange", "tblPrChange", "tcPrChange", "trPrChange")}
+REVISIONS = {f"{W}{n}" for n in ("ins", "del", "moveFrom", "moveTo", "rPrChange", "pPrChange", "sectPrChange", "tblPrChange", "tcPrChange", "trPrChange", "tblGridChange", "tblPrExChange", "numberingChange", "cellIns", "cellDel", "cellMerge", "moveFromRangeStart", "moveToRangeStart", "customXmlInsRangeStart", "customXmlDelRangeStart")}
 MARKS = {f"{W}tab": "\t", f"{W}br": "\n", f"{W}cr": "\n", f"{W}noBreakHyphen": "‑"}
 
 SCHEMA = "path string, status string, ord long, kind string, text string, math string, images array<string>, markers array<string>, table_no long, row long, col long, rowspan long, colspan long"
@@ -31,7 +32,7 @@ class DocxError(ValueError):
 
 def xml(data: bytes) -> ElementTree.Element:
     """A part's root; document types and so entities aren't allowed."""
-    if b"<!DOCTYPE" in data[:4096] or b"<!ENTITY" in data:
+    if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
         raise DocxError("DOCX_XML_UNSAFE")
     try:
         return ElementTree.fromstring(data)
@@ -129,6 +130,8 @@ def documents(files: DataFrame) -> DataFrame:
                     rows = [(path, "OK", *r) for r in read(content)]
                 except DocxError as e:
                     rows = [(path, str(e), *[None] * (len(NAMES) - 2))]
+                except (ValueError, KeyError, zipfile.BadZipFile, zlib.error, NotImplementedError):  # a bad number, part or packing
+                    rows = [(path, "DOCX_CONTENT_INVALID", *[None] * (len(NAMES) - 2))]
                 out = pd.DataFrame(rows, columns=NAMES, dtype=object)
                 yield out.astype({c: "Int64" for c in ("ord", "table_no", "row", "col", "rowspan", "colspan")})
 
