@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import association, content, control, geometry, kernels, ledgers, projection, scores, texts
+from . import association, bridging, content, control, geometry, kernels, ledgers, projection, scores, texts
 
-MODULES = [geometry, content, control, kernels, ledgers, association, projection, scores, texts]
+MODULES = [geometry, content, control, kernels, ledgers, association, projection, scores, texts, bridging]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

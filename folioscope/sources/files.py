@@ -14,7 +14,7 @@ MOST_BYTES, FORMATS, MOST_SIDE = 25 << 20, ["pdf", "jpg", "jpeg", "png"], 4000
 
 
 def listed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Paths, sizes and times of files; contents aren't read unless they are selected."""
+    """Paths, sizes and times of files; contents aren't read unless they are selected. Spark leaves out empty files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
