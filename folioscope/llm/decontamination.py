@@ -17,7 +17,7 @@ from .common import by_bytes, filesystem, new_dir
 from .fm_index import FMIndex
 
 #: Bytes of text in a shard.
-SHARD = 4 << 20
+SHARD = 6 << 20
 
 #: Bytes of benchmark text in a block, on average; a task holds one block at a time.
 BLOCK = 16 << 20
