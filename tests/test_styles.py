@@ -73,3 +73,28 @@ def groups(df) -> bool:
 
 def test_con_pagination_has_no_call_a_page(spark):
     assert not groups(texts.con_pagination(spark, "/root/testdata/sf0.001"))
+
+
+def test_font_closure_of_blocks(spark):
+    """Many documents against a plain search, with fonts of no document, null names and a chain of 3000 alternate names."""
+    draw = random.Random(8)
+    pairs = [(doc, draw.choice([None, "f0", "f1", "f2", "f3", "f4"]), draw.choice([None, "f0", "f1", "f2", "f3", "f4"])) for doc in [None, *range(9000)] for _ in range(draw.randint(0, 5))]
+    order = draw.sample(range(3001), 3001)
+    pairs += [(9000, f"c{a}", f"c{b}") for a, b in zip(order, order[1:], strict=False)]
+    seeds = [(doc, "f0") for doc in [None, *range(9000)] if draw.random() < 0.7] + [(1, "f0"), (9000, f"c{order[0]}"), (9001, "lone")]
+    linked: dict = {}
+    for doc, a, b in pairs:
+        if a is not None and b is not None:
+            linked.setdefault((doc, a), []).append((doc, b))
+            linked.setdefault((doc, b), []).append((doc, a))
+    expected, left = set(seeds), list(set(seeds))
+    while left:
+        fresh = set(linked.get(left.pop(), [])) - expected
+        expected |= fresh
+        left += fresh
+    found = styles.font_closure(spark.createDataFrame(seeds, "doc long, font string"), spark.createDataFrame(pairs, "doc long, font string, other string"), "doc").collect()
+    assert len(found) == len(expected) and set(map(tuple, found)) == expected
+
+
+def test_vis_font_closure_has_no_call_a_page(spark):
+    assert not groups(texts.vis_font_closure(spark, "/root/testdata/sf0.001"))
