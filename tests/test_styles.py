@@ -98,3 +98,23 @@ def test_font_closure_of_blocks(spark):
 
 def test_vis_font_closure_has_no_call_a_page(spark):
     assert not groups(texts.vis_font_closure(spark, "/root/testdata/sf0.001"))
+
+
+def test_hidden(spark, rows, plain):
+    own = spark.createDataFrame(rows, COLUMNS)
+    found = styles.hidden(own, "doc").collect()
+    expected = {(doc, s, sum(on.get(a, False) for a in walk(above, s)) % 2 == 1) for doc, (above, _, on) in plain.items() for s in above}
+    assert len(found) == len(rows) and set(map(tuple, found)) == expected
+    known = own.where("doc is not null")
+    assert set(map(tuple, styles.hidden_styles(styles.chains(known, "doc"), known, "doc").collect())) == {x for x in expected if x[0] is not None}
+
+
+def test_hidden_by_a_deep_chain(spark):
+    """A chain of 40,000 styles in one document; every third switches hiding on."""
+    deep = spark.range(1, 40_001).selectExpr("'d' AS doc", "id AS style", "CASE WHEN id > 1 THEN id - 1 END AS based_on", "id % 3 = 0 AS enabled")
+    found = styles.hidden(deep, "doc")
+    assert found.count() == 40_000 and found.where("hidden <> (div(style, 3) % 2 = 1)").count() == 0
+
+
+def test_vis_run_hidden_has_no_call_a_page(spark):
+    assert not groups(texts.vis_run_hidden(spark, "/root/testdata/sf0.001"))
