@@ -87,31 +87,35 @@ class Direction:
         return inputs, recurrent
 
     def scores(self, symbols: np.ndarray, skip: int = 0) -> np.ndarray:
-        """Output scores after each step from a given one, without what training needs."""
+        """Output scores after each step from a given one, without what training needs: steps x languages x windows.
+
+        Update, reset and candidate are planes of their own, so that all arithmetic goes over unbroken memory. Gates are kept at
+        twice their value, with halved weights beside them; halves of floats are exact.
+        """
         hidden, n = self.recurrent.shape[0], symbols.shape[1]
-        half = self.inputs.copy()
-        half[:, : 2 * hidden] *= 0.5
-        weights = self.recurrent.copy()
-        weights[:, : 2 * hidden] *= 0.5
-        h, out = np.zeros((n, hidden), np.float32), np.empty((len(symbols) - skip, n, self.output.shape[1]), np.float32)
-        x, u = np.empty((n, 3 * hidden), np.float32), np.empty((n, 3 * hidden), np.float32)
-        for t, row in enumerate(symbols):
-            np.take(half, row, axis=0, out=x, mode="clip")  # unchecked: bytes fit
+        inputs, weights = (np.ascontiguousarray(a.reshape(-1, 3, hidden).transpose(1, 0, 2)) for a in (self.inputs, self.recurrent))
+        inputs[:2] *= 0.5
+        weights *= 0.5
+        output = np.ascontiguousarray(self.output.T)
+        h, out = np.zeros((n, hidden), np.float32), np.empty((len(symbols) - skip, len(output), n), np.float32)
+        x, u = np.empty((3, n, hidden), np.float32), np.empty((3, n, hidden), np.float32)
+        gates, (update, reset, new), own = x[:2], x, u[2]
+        for t, row in enumerate(symbols.astype(np.intp)):
+            for table, plane in zip(inputs, x, strict=True):
+                np.take(table, row, axis=0, out=plane, mode="clip")  # unchecked: bytes fit
             np.matmul(h, weights, out=u)
-            gates = x[:, : 2 * hidden]
-            gates += u[:, : 2 * hidden]
+            gates += u[:2]
             np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
-            own, new = u[:, 2 * hidden :], x[:, 2 * hidden :]
-            own *= gates[:, hidden:]
+            gates += 1
+            own *= reset
             new += own
             np.tanh(new, out=new)
             h -= new
-            h *= gates[:, :hidden]
+            h *= update
+            h *= 0.5
             h += new
             if t >= skip:
-                np.matmul(h, self.output, out=out[t - skip])
+                np.matmul(output, h.T, out=out[t - skip])
         return out
 
 
@@ -188,14 +192,15 @@ class Network:
             else:
                 # the networks' places of each byte of the part
                 there, here = np.minimum(before + steps[:most], far - 1), np.maximum(n + after - 1 - steps[:most], 0)
-                scores = np.take_along_axis(self.forward.scores(buffer[forth]), there[:, :, None], axis=0)
-                scores += np.take_along_axis(self.backward.scores(buffer[turned]), here[:, :, None], axis=0)
-            scores += self.bias
-            np.exp(scores - scores.max(axis=2, keepdims=True), out=scores)
-            scores /= scores.sum(axis=2, keepdims=True)
+                scores = np.take_along_axis(self.forward.scores(buffer[forth]), there[:, None], axis=0)
+                scores += np.take_along_axis(self.backward.scores(buffer[turned]), here[:, None], axis=0)
+            scores += self.bias[:, None]
+            scores -= scores.max(axis=1, keepdims=True)
+            np.exp(scores, out=scores)
+            scores /= scores.sum(axis=1, keepdims=True)
             if n.min() < most:
-                scores *= (steps[:most] < n)[:, :, None]
-            np.add.at(total, owner[own], scores.sum(axis=0))
+                scores *= (steps[:most] < n)[:, None]
+            np.add.at(total, owner[own], scores.sum(axis=0).T)
         return total / np.maximum(sizes, 1)[:, None]
 
 
